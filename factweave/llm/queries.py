@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii
+from . import decontaminate, packing, pii, topk, warc
 
 
 def queries() -> dict:
     return {
         "op4_decontaminate": decontaminate.op4,
+        "op6_topk": topk.op6,
         "op7_pii": pii.op7,
+        "op8_packing": packing.op8,
+        "op10_warc": warc.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.OP4_SQL}
+    return {"op4_decontaminate": decontaminate.OP4_SQL, "op6_topk": topk.OP6_SQL}
