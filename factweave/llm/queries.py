@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, topk, warc
+from . import decontaminate, packing, pii, simhash, suffix, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1,
+        "op2_suffix": suffix.op2,
         "op4_decontaminate": decontaminate.op4,
         "op6_topk": topk.op6,
         "op7_pii": pii.op7,
