@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, simhash, suffix, topk, warc
+from . import decontaminate, lines, packing, pii, quality, simhash, suffix, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1,
         "op2_suffix": suffix.op2,
+        "op3_quality": quality.op3,
         "op4_decontaminate": decontaminate.op4,
+        "op5_lines": lines.op5,
         "op6_topk": topk.op6,
         "op7_pii": pii.op7,
         "op8_packing": packing.op8,
+        "op9_toxicity": toxicity.op9,
         "op10_warc": warc.op10,
     }
 
