@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, lines, packing, pii, quality, simhash, suffix, topk, toxicity, warc
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_toxicity": toxicity.op9,
         "op10_warc": warc.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
