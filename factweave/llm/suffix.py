@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ GRAM = 24
 CHUNK = 1 << 20
 #: Contexts under one first digit beyond which its windows are dealt out singly.
 HOT = 1024
+#: Bytes of the digest that stands for a single window.
+DIGEST = 16
 NO_ID = -(2**63)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -206,7 +209,8 @@ ASKED = "key long, rel int, dk long, th long, start long, bytes binary, n int"
 
 
 def _contexts(length: int):
-    """The bytes behind each open anchor; windows under a hot digit one by one."""
+    """The bytes behind each open anchor; windows under a hot digit one by one, as
+    digests (``n`` is 0), dealt out by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ASKED.split(", ")]
@@ -222,9 +226,8 @@ def _contexts(length: int):
                         rows.append((x["key"], pos - start, dk, th, start, text[start:stop], stop - start - length + 1))
                         continue
                     for s in range(start, stop - length + 1):
-                        w = text[s : s + length]
-                        key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-                        rows.append((key, pos - s, dk, th, s, w, 1))
+                        w = hashlib.blake2b(text[s : s + length], digest_size=DIGEST).digest()
+                        rows.append((int.from_bytes(w[:8], "little", signed=True), pos - s, dk, th, s, w, 0))
                 if len(rows) >= 20_000:
                     yield flush()
                     rows = []
@@ -262,11 +265,17 @@ def _judge(length: int):
         held: list[pa.RecordBatch] = []
         windows = 0
 
-        def covered(lots: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def covered(lots: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(lots).combine_chunks()
+            yield from (x for single in (False, True) if (x := covered_part(t.filter(pc.equal(pc.equal(t.column("n"), 0), single)), single)))
+
+        def covered_part(t: pa.Table, single: bool) -> pa.RecordBatch | None:
+            if not len(t):
+                return None
+            t = t.combine_chunks()
             col = {k: t.column(k).to_numpy() for k in ("key", "rel", "dk", "th", "start", "n")}
             text = t.column("bytes").to_pylist()
-            size = col["n"].astype(np.int64)
+            size = np.maximum(col["n"], 1).astype(np.int64)
             row = np.repeat(np.arange(len(size)), size)
             step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             base = np.cumsum([0, *map(len, text[:-1])]) if text else np.zeros(0, np.int64)
@@ -280,7 +289,7 @@ def _judge(length: int):
             place = np.empty(len(row), np.int64)
             place[np.lexsort((start, col["th"][row], col["dk"][row]))] = np.arange(len(row))
             hit = np.zeros(len(row), bool)
-            hit[repeated(buf, base[row] + step, group, place, length)] = True
+            hit[repeated(buf, base[row] + step, group, place, DIGEST if single else length)] = True
             # runs of neighbouring windows of one row
             prior = np.concatenate([[False], hit[:-1] & (row[1:] == row[:-1])])
             follow = np.concatenate([hit[1:] & (row[1:] == row[:-1]), [False]])
@@ -293,7 +302,7 @@ def _judge(length: int):
             while len(b):
                 if windows < 200_000:
                     held.append(b)
-                    windows += int(b.column("n").to_numpy().sum())
+                    windows += int(np.maximum(b.column("n").to_numpy(), 1).sum())
                     b = b.slice(len(b))
                     continue
                 # go on to the end of the last key
@@ -303,10 +312,10 @@ def _judge(length: int):
                     held.append(b.slice(0, end))
                     b = b.slice(end)
                 if len(b):
-                    yield covered(held)
+                    yield from covered(held)
                     held, windows = [], 0
         if held:
-            yield covered(held)
+            yield from covered(held)
 
     return run
 
@@ -363,7 +372,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True) -
     found = cut(packed.mapInArrow(_group_first_digit(unpack, length), FOUND))
 
     asks = found.where("key is not null").groupBy("dk", "th").agg(F.collect_list(F.struct("start", "stop", "key", "pos", "hot")).alias("asks"))
-    rows = base.join(asks, ["dk", "th"]).select("dk", "th", "text", "asks").mapInArrow(_contexts(length), ASKED)
+    # Both joins read the same columns, so that one exchange of the texts serves both.
+    rows = base.join(asks, ["dk", "th"]).select("dk", "th", "text", "known", "asks").mapInArrow(_contexts(length), ASKED)
     rows = rows.repartition(tasks, "key").sortWithinPartitions("key")
     later = rows.mapInArrow(_judge(length), "dk long, th long, start long, stop long")
 
