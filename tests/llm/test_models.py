@@ -83,11 +83,11 @@ def test_scores_without_labels_and_of_odd_texts(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
-    rows = _labelled(rng, 120)
+    rows = _labelled(rng, 240)
     docs = [(i, t, "en", "s", len(t)) for i, t, _, _ in rows]
     item = prose(rng, 30)
     docs[7] = (7, item + "\n" + docs[7][1][:50], "en", "s", 0)
-    docs[11] = (11, docs[10][1], "en", "s", 0)
+    docs[12] = (12, docs[10][1], "en", "s", 0)
     docs.append((500, None, None, None, None))
     d = str(tmp_path / "t")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
