@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,45 +29,58 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def candidates(sample: list[tuple[str, int]]) -> dict[str, float]:
-    """Log-odds of the tokens that labelled toxic texts use far more than others.
-    A token counts once for each pair of neighbours, so copies add nothing."""
-    seen: tuple[set, set] = (set(), set())
-    for text, y in sample:
-        w = ["\n", *tokens(text), "\n"]
-        seen[y > 0].update(zip(w, w[1:], w[2:], strict=False))
-    clean, toxic = (Counter(x[1] for x in s) for s in seen)
-    all_clean, all_toxic = max(1, len(seen[0])), max(1, len(seen[1]))
-    out = {}
-    rate = all_toxic / (all_toxic + all_clean)
-    for t, n in toxic.items():
-        k = n + clean[t]
-        g = 2 * (n * math.log(n / (k * rate)) + (clean[t] * math.log(clean[t] / (k * (1 - rate))) if clean[t] else 0))
-        s = math.log((n + 0.5) / all_toxic) - math.log((clean[t] + 0.5) / all_clean)
-        if g >= EVIDENCE and s >= ODDS and t != "\n":
-            out[t] = min(s, 8.0)
-    return out
-
-
-def _features(words: list[str], odds: dict[str, float]) -> np.ndarray:
-    own = np.fromiter((odds.get(w, 0.0) for w in words), dtype=np.float64, count=len(words))
-    x = np.zeros((len(words), FEATURES))
+class Words:
+    """Numbers for tokens: a text is held as an array, not as strings."""
+
+    def __init__(self):
+        self.ids = {"\n": 0}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.array([self.ids.setdefault(t, len(self.ids)) for t in tokens(text) or ["\n"]], dtype=np.int32)
+
+
+def candidates(texts: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """By token number the log-odds of tokens that labelled toxic texts use far
+    more than others, else 0. A token counts once for each pair of neighbours, so
+    copies add nothing."""
+    counts = []
+    for want in (False, True):
+        w = np.concatenate([np.concatenate([[0], t, [0]]) for t, v in zip(texts, y > 0, strict=True) if v == want]).astype(np.uint64)
+        key = (w[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ w[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ w[2:]
+        counts.append(np.bincount(w[1:-1][np.unique(key, return_index=True)[1]].astype(np.int64), minlength=size))
+    clean, toxic = (c.astype(np.float64) for c in counts)
+    all_clean, all_toxic = max(1.0, clean.sum()), max(1.0, toxic.sum())
+    rate, k = all_toxic / (all_toxic + all_clean), np.maximum(clean + toxic, 1)
+    part = lambda n, p: np.where(n > 0, n * np.log(np.maximum(n, 1) / (k * p)), 0)
+    g = 2 * (part(toxic, rate) + part(clean, 1 - rate))
+    s = np.log((toxic + 0.5) / all_toxic) - np.log((clean + 0.5) / all_clean)
+    good = (g >= EVIDENCE) & (s >= ODDS) & (toxic > 0)
+    good[0] = False
+    return np.where(good, np.minimum(s, 8.0), 0.0)
+
+
+def _features(own: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of the tokens of all texts end to end: own and neighbours' log-odds, and
+    whether it is a line end. A text's first token has no left neighbour, its
+    last no right one."""
+    x = np.zeros((len(own), FEATURES))
     x[:, 0], x[:, 1] = own, own > 0
     x[1:, 2], x[:-1, 3] = own[:-1], own[1:]
-    x[:, 4] = np.fromiter((w == "\n" for w in words), dtype=np.float64, count=len(words))
+    x[:, 4] = end
+    starts = np.cumsum(lengths) - lengths
+    x[starts, 2] = 0
+    x[starts + lengths - 1, 3] = 0
     return x
 
 
 def _chains(texts: list[str | None], odds: dict[str, float]):
-    """Features of the tokens of all texts end to end, and the texts' lengths; an
-    empty text is one line end."""
+    """Features of texts, and their lengths; an empty text is one line end."""
     words = [tokens(t) or ["\n"] for t in texts]
     lengths = np.array([len(w) for w in words])
-    x = _features([t for w in words for t in w], odds)
-    starts = np.cumsum(lengths) - lengths
-    x[starts, 2] = 0  # a text's first token has no left neighbour, its last no right one
-    x[starts + lengths - 1, 3] = 0
-    return words, x, lengths
+    n = int(lengths.sum())
+    own = np.fromiter((odds.get(t, 0.0) for w in words for t in w), dtype=np.float64, count=n)
+    end = np.fromiter((t == "\n" for w in words for t in w), dtype=np.float64, count=n)
+    return _features(own, end, lengths), lengths
 
 
 def _summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -89,25 +100,35 @@ class ToxicityModel:
         self.base = float(y.mean()) if len(y) else 0.5
         self.crf: Crf | None = None
         self.odds: dict[str, float] = {}
-        if not 0 < self.base < 1:
+        if not len(y) or not 0 < self.base < 1:
             return
-        self.odds = candidates(sample)
-        words, x, lengths = _chains([t for t, _ in sample], self.odds)
-        tags = ((x[:, 0] > 0) & (np.repeat(y, lengths) > 0)).astype(int)
-        if not tags.any():
+        words = Words()
+        ids = [words(t) for t, _ in sample]
+        odds = candidates(ids, y, len(words.ids))
+        self.odds = {t: float(odds[i]) for t, i in words.ids.items() if odds[i] > 0}
+        del words
+        if not self.odds:
             return
         # Toxic texts first, then others, whole, up to CHAINS.
-        order = np.argsort(y == 0, kind="stable")
-        half = min(int((y > 0).sum()), CHAINS // 2)
-        picked = np.concatenate([order[:half], order[int((y > 0).sum()) :][: CHAINS - half]])
-        keep = np.zeros(len(y), bool)
-        keep[picked] = True
-        on = np.repeat(keep, lengths)
-        self.crf = train(x[on], tags[on], lengths[keep], iterations=60)
-        self.final = logistic(_summary(self.crf.marginals(x, lengths), lengths), y)
+        order, toxic = np.argsort(y == 0, kind="stable"), int((y > 0).sum())
+        half = min(toxic, CHAINS // 2)
+        picked = np.sort(np.concatenate([order[:half], order[toxic:][: CHAINS - half]]))
+        x, lengths = self._of([ids[i] for i in picked], odds)
+        tags = ((x[:, 0] > 0) & (np.repeat(y[picked], lengths) > 0)).astype(int)
+        self.crf = train(x, tags, lengths, iterations=60)
+        z = []
+        for a in range(0, len(ids), 500):
+            x, lengths = self._of(ids[a : a + 500], odds)
+            z.append(_summary(self.crf.marginals(x, lengths), lengths))
+        self.final = logistic(np.vstack(z), y)
+
+    @staticmethod
+    def _of(ids: list[np.ndarray], odds: np.ndarray):
+        flat, lengths = np.concatenate(ids), np.array([len(t) for t in ids])
+        return _features(odds[flat], (flat == 0).astype(np.float64), lengths), lengths
 
     def tag(self, texts: list[str | None]):
-        words, x, lengths = _chains(texts, self.odds)
+        x, lengths = _chains(texts, self.odds)
         p = self.crf.marginals(x, lengths)
         z = _summary(p, lengths)
         return p, lengths, sigmoid(self.final[0] + z @ self.final[1:])
