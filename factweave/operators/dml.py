@@ -48,11 +48,10 @@ def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(last)
 
 
-def append_facts(facts: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """``facts`` and ``new`` with ids that go on from the largest one.
+def number_on(new: DataFrame, order: list[str], top: int) -> DataFrame:
+    """``new`` with ids from ``top`` + 1 on, in ``order``.
 
     Numbers come from each range partition's count, not from one sorted task."""
-    top = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     ranged = new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     base, offsets = int(top), {}
@@ -61,7 +60,13 @@ def append_facts(facts: DataFrame, new: DataFrame, order: list[str]) -> DataFram
         base += sizes[p]
     start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("_p")] if offsets else F.lit(base)
     local = F.col("_i").bitwiseAND((1 << 33) - 1)
-    ided = ranged.withColumn("id", (start + local + 1).cast("long")).drop("_p", "_i")
+    return ranged.withColumn("id", (start + local + 1).cast("long")).drop("_p", "_i")
+
+
+def append_facts(facts: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``facts`` and ``new`` with ids that go on from the largest one."""
+    top = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    ided = number_on(new, order, top)
     return facts.unionByName(ided.select(*[c for c in facts.columns if c in ided.columns]), allowMissingColumns=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,30 @@ from ..sources import files as sources
 from ..sources.store import Store
 
 
+def releasing(method):
+    """What a method keeps in memory is let go when it ends: a kept plan over the
+    same paths would otherwise answer for files that have changed since."""
+
+    @wraps(method)
+    def run(self, *args, **kwargs):
+        try:
+            return method(self, *args, **kwargs)
+        finally:
+            while self._kept:
+                self._kept.pop().unpersist()
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, registry: sources.Registry | None = None):
+        self._kept: list[DataFrame] = []
         self.spark, self.store, self.registry = spark, Store(spark, root), registry or sources.default_registry()
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
     # -- ingestion -----------------------------------------------------------
 
     def ingest(self, folder: str, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
@@ -23,32 +45,29 @@ class Engine:
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(~F.col("path").rlike(r"/\.[^/]*$"))
         return self.ingest_files(files, observed_at, dry_run)
 
+    @releasing
     def ingest_files(self, files: DataFrame, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
         items = sources.parse(files, self.registry)
-        recs = sources.records(items).persist()
-        try:
-            schemas = self._discover(recs)
-            if dry_run:
-                return self.spark.createDataFrame(schemas.toPandas()) if schemas.count() else schemas
-            incoming = recs.select("path", "content_hash", "adapter").distinct()
-            t = self.store.tables()
-            status = dml.delta_status(incoming, t["documents"]).persist()
-            stale, new = status.where("status = 'stale'"), status.where("status <> 'cached'")
-            if new.isEmpty():
-                return self.spark.createDataFrame(schemas.toPandas()) if schemas.count() else schemas
-            t = dml.cascade_delete(t, stale)
-            top = t["documents"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            fresh = incoming.join(new.select("path"), "path", "left_semi")
-            # Ids of documents by path: one row per file, far fewer than records.
-            docs = fresh.withColumn("id", F.expr(f"{top} + row_number() OVER (ORDER BY path)")).withColumn("ingested_at", F.lit(observed_at).cast("long")).persist()
-            cells = self._facts(recs.join(docs.select("path", F.col("id").alias("document_id")), "path"), schemas, observed_at).persist()
-            entities = cells.select(F.col("subject").alias("id"), "entity_type", F.struct("path", "pos").alias("seq")).distinct()
-            entities = dml.insert_new(t["entities"], entities.groupBy("id").agg(F.min_by("entity_type", "seq").alias("entity_type")), ["id"])
-            facts = dml.append_facts(t["facts"], cells.where("predicate IS NOT NULL").drop("entity_type"), ["path", "pos", "predicate"])
-            self.store.commit(documents=t["documents"].unionByName(docs.select(*t["documents"].columns)), entities=entities, facts=facts, conflicts=t["conflicts"])
-            return self.spark.createDataFrame(schemas.toPandas())
-        finally:
-            recs.unpersist()
+        recs = self._keep(sources.records(items))
+        schemas = self._discover(recs)
+        if dry_run:
+            return self._discover(sources.records(items))
+        incoming = recs.select("path", "content_hash", "adapter").distinct()
+        t = self.store.tables()
+        status = self._keep(dml.delta_status(incoming, t["documents"]))
+        stale, new = status.where("status = 'stale'"), status.where("status <> 'cached'")
+        if new.isEmpty():
+            return self._discover(sources.records(items))
+        t = dml.cascade_delete(t, stale)
+        top = t["documents"].agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = incoming.join(new.select("path"), "path", "left_semi")
+        docs = self._keep(dml.number_on(fresh, ["path"], top).withColumn("ingested_at", F.lit(observed_at).cast("long")))
+        cells = self._keep(self._facts(recs.join(docs.select("path", F.col("id").alias("document_id")), "path"), schemas, observed_at))
+        entities = cells.select(F.col("subject").alias("id"), "entity_type", F.struct("path", "pos").alias("seq")).distinct()
+        entities = dml.insert_new(t["entities"], entities.groupBy("id").agg(F.min_by("entity_type", "seq").alias("entity_type")), ["id"])
+        facts = dml.append_facts(t["facts"], cells.where("predicate IS NOT NULL").drop("entity_type"), ["path", "pos", "predicate"])
+        self.store.commit(documents=t["documents"].unionByName(docs.select(*t["documents"].columns)), entities=entities, facts=facts, conflicts=t["conflicts"])
+        return self._discover(sources.records(items))
 
     @staticmethod
     def _discover(recs: DataFrame) -> DataFrame:
@@ -102,37 +121,40 @@ class Engine:
         self.store.commit(entity_aliases=aliases.upsert_aliases(t["entity_aliases"], new))
         return self.store.table("entity_aliases").count()
 
+    @releasing
     def reconcile_refs(self, discount: float = 0.9, observed_at: int = 0) -> int:
         t = self.store.tables()
-        new = reconcile.reconcile(t["facts"], t["entities"], t["entity_aliases"], discount, observed_at).persist()
+        new = self._keep(reconcile.reconcile(t["facts"], t["entities"], t["entity_aliases"], discount, observed_at))
         n = new.count()
         if n:
             self.store.commit(facts=dml.append_facts(t["facts"], new.withColumn("document_id", F.lit(None).cast("long")), ["subject", "predicate", "object_json"]))
-        new.unpersist()
         return n
 
+    @releasing
     def embed(self, client, model: str, at: int = 0, force: bool = False, limit: int | None = None) -> int:
         t = self.store.tables()
         cards = vectors.stale_cards(vectors.card_text(t["facts"], t["entities"], t["entity_aliases"]), t["entity_embeddings"], model, force, limit)
-        new = vectors.embed_cards(cards, client, model, at).persist()
+        new = self._keep(vectors.embed_cards(cards, client, model, at))
         n = new.count()
         self.store.commit(entity_embeddings=dml.keep_latest(t["entity_embeddings"], new, KEYS["entity_embeddings"], "created_at"))
         return n
 
+    @releasing
     def cleanup_conflicts(self, client, at: int = 0) -> int:
         """Classify predicates anew and detect conflicts."""
         t = dml.clear_cardinality(self.store.tables())
         evidence = conflicts.multivalue_evidence(t["facts"], t["entities"], t["predicate_cardinality"])
-        decided = extraction.classify(evidence, client).withColumns({"decided_by": F.lit("model"), "decided_at": F.lit(at).cast("long")}).persist()
+        decided = self._keep(extraction.classify(evidence, client).withColumns({"decided_by": F.lit("model"), "decided_at": F.lit(at).cast("long")}))
         found = conflicts.detect_conflicts(t["facts"], t["entities"], decided, t["conflicts"])
         new = found.withColumns({"resolved_at": F.lit(None).cast("long"), "resolution": F.lit(None).cast("string")})
         self.store.commit(predicate_cardinality=decided, conflicts=dml.append_facts(t["conflicts"], new, ["subject", "predicate", "fact_a_id", "fact_b_id"]))
         return self.store.table("conflicts").where("resolved_at IS NULL").count()
 
+    @releasing
     def resolve(self, at: int = 0, config: conflicts.ResolverConfig = conflicts.ResolverConfig()) -> DataFrame:
         """Decide what the policy can; (decision, n) of the open conflicts."""
         t = self.store.tables()
-        done = conflicts.resolve(t["conflicts"].where("resolved_at IS NULL"), t["facts"], config).persist()
+        done = self._keep(conflicts.resolve(t["conflicts"].where("resolved_at IS NULL"), t["facts"], config))
         stats = self.spark.createDataFrame(done.groupBy("decision").count().collect(), "decision string, n long")
         put = done.select("id", "preferred")
         new = t["conflicts"].join(put, "id", "left").withColumns({
@@ -170,15 +192,16 @@ class Engine:
             facts=dml.suppress_fact(t["facts"], subject, predicate, entity_id),
         )
 
+    @releasing
     def extract(self, sections: DataFrame, client, at: int = 0, most: int | None = None) -> int:
         """Ask a model about sections (section, parent_subject, text) that aren't
         cached, ground what it says, and keep it."""
         t = self.store.tables()
-        todo = grounding.uncached(sections, t["section_cache"], most).persist()
+        todo = self._keep(grounding.uncached(sections, t["section_cache"], most))
         cands = reconcile.text_candidates(todo, t["entities"], t["entity_aliases"]).groupBy("section").agg(F.sort_array(F.collect_list(F.struct("place", "entity_id", "entity_type", "surface"))).alias("candidates"))
-        got = extraction.extract_sections(todo.join(cands, "section", "left"), client).persist()
+        got = self._keep(extraction.extract_sections(todo.join(cands, "section", "left"), client))
         refs = got.where("kind = 'ref'").select("section", "entity_id", "evidence_span", "confidence")
-        grounded = grounding.ground_refs(refs, todo.select("section", "parent_subject", "text"), t["entities"], t["entity_aliases"], at).persist()
+        grounded = self._keep(grounding.ground_refs(refs, todo.select("section", "parent_subject", "text"), t["entities"], t["entity_aliases"], at))
         said = got.where("kind = 'fact'").select("section", "subject", "predicate", "object_json", F.lit("llm").alias("adapter"), "confidence", F.lit(at).cast("long").alias("observed_at"), F.lit(None).cast("string").alias("locator"))
         new = said.unionByName(grounded.select(*said.columns)).withColumn("document_id", F.lit(None).cast("long"))
         counts = new.groupBy("section").agg(F.count("*").alias("fact_count"))

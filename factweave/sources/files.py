@@ -191,4 +191,5 @@ def errors(items: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A large delimited table by Spark's own splittable reader: strings only, a
     ragged row fails, an empty cell is an empty string."""
-    return spark.read.csv(path, header=True, sep=sep, inferSchema=False, mode="FAILFAST", nullValue="\u0000", emptyValue="")
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, mode="FAILFAST", emptyValue="")
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
