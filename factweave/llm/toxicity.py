@@ -54,7 +54,9 @@ def candidates(texts: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     part = lambda n, p: np.where(n > 0, n * np.log(np.maximum(n, 1) / (k * p)), 0)
     g = 2 * (part(toxic, rate) + part(clean, 1 - rate))
     s = np.log((toxic + 0.5) / all_toxic) - np.log((clean + 0.5) / all_clean)
-    good = (g >= EVIDENCE) & (s >= ODDS) & (toxic > 0)
+    # so much that of all tokens tested about one would pass by chance
+    chance = 2 * np.log(max(1, np.count_nonzero(toxic)))
+    good = (g >= max(EVIDENCE, chance)) & (s >= ODDS) & (toxic > 0)
     good[0] = False
     return np.where(good, np.minimum(s, 8.0), 0.0)
 
@@ -84,11 +86,14 @@ def _chains(texts: list[str | None], odds: dict[str, float]):
 
 
 def _summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """By document: log of the expected number of toxic tokens, the largest
-    marginal, and the log of the expected share."""
+    """By document: log of the expected number of toxic tokens, and the largest
+    marginal but one, so that a chance hit alone doesn't settle the matter."""
     starts = np.cumsum(lengths) - lengths
-    mass = np.add.reduceat(p, starts)
-    return np.column_stack([np.log1p(mass), np.maximum.reduceat(p, starts), np.log1p(100 * mass / lengths)])
+    top = p == np.repeat(np.maximum.reduceat(p, starts), lengths)
+    nth = np.cumsum(top)
+    nth -= np.repeat(nth[starts] - top[starts], lengths)
+    rest = np.where(top & (nth == 1), 0.0, p)
+    return np.column_stack([np.log1p(np.add.reduceat(p, starts)), np.maximum.reduceat(rest, starts)])
 
 
 class ToxicityModel:
