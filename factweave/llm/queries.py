@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, lines, packing, pii, quality, simhash, suffix, topk, toxicity, warc
+from . import decontaminate, lines, oracles, packing, pii, quality, simhash, suffix, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -24,4 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.OP4_SQL, "op6_topk": topk.OP6_SQL}
+    return {
+        "op4_decontaminate": decontaminate.OP4_SQL, "op5_lines": oracles.OP5_SQL, "op6_topk": topk.OP6_SQL, "op10_warc": oracles.OP10_SQL,
+    }
