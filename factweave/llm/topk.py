@@ -64,42 +64,46 @@ def _load(ids: bytes, vecs: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(vecs, kind).reshape(len(i), dims).astype(np.float64)
 
 
-def search_tile(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Exact k best of ``x`` for each row of ``q`` (own id left out).
+def search_tile(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores): the exact k best of ``x`` for each row of ``q``,
+    rows of its own id left out.
 
     2 q.x = |q|^2 + |x|^2 - d(q, x)^2, and d(q, x) >= |d(q, p) - d(x, p)| for
-    each pivot p: candidates are evaluated in falling order of the bound that
-    the pivot table gives, until no bound left reaches the k-th score.
+    each pivot p, so the pivot table bounds every score from above. Candidates
+    are evaluated in falling order of the bound: the first ones fix the k-th
+    score, then those whose bound still reaches it; the rest can't be among the
+    best.
     """
-    far = lambda m: np.sqrt(np.maximum(((m[:, None, :] - pivots[None]) ** 2).sum(-1), 0)) if len(pivots) else np.zeros((len(m), 0))
-    rows = lambda m: np.vstack([far(m[a : a + 1024]) for a in range(0, len(m), 1024)]) if len(m) else far(m)
-    dq, dx = rows(q).astype(np.float32), np.ascontiguousarray(rows(x).T.astype(np.float32))
+    far = lambda m: np.stack([np.sqrt(((m - p) ** 2).sum(1)) for p in pivots], 1) if len(pivots) else np.zeros((len(m), 0))
+    dq, dx = far(q).astype(np.float32), np.ascontiguousarray(far(x).T.astype(np.float32))
     nq, nx = (q**2).sum(1), (x**2).sum(1)
-    out = []
-    for a in range(len(q)):
-        low = np.zeros(len(x), np.float32)
-        for p in range(dx.shape[0]):
-            np.maximum(low, np.abs(dx[p] - dq[a, p]), out=low)
-        low = np.maximum(low * (1 - 1e-5) - 1e-2, 0).astype(np.float64)  # float32 distances: a margin keeps it a bound
-        bound = (nq[a] + nx - low * low) / 2 + 1e-6
-        bound[xid == qid[a]] = -np.inf
-        todo = np.argpartition(-bound, min(255, len(x) - 1))[:256] if len(x) > 256 else np.arange(len(x))
-        left = np.ones(len(x), bool)
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        while len(todo):
-            todo = todo[np.isfinite(bound[todo])]
-            left[todo] = False
-            ids, scores = np.concatenate([ids, xid[todo]]), np.concatenate([scores, x[todo] @ q[a]])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-            least = scores[-1] if len(scores) == k else -np.inf
-            rest = np.flatnonzero(left & (bound >= least) & np.isfinite(bound))
-            if not len(rest):
-                break
-            rest = rest[np.argsort(-bound[rest], kind="stable")]
-            todo = rest[:4096]
-        out.append((np.full(len(ids), qid[a]), ids, scores))
-    return out
+    low = np.zeros((len(q), len(x)), np.float32)
+    for p in range(len(dx)):
+        gap = dx[p][None, :] - dq[:, p][:, None]
+        np.abs(gap, out=gap)
+        np.maximum(low, gap, out=low)
+    # single precision: a margin keeps the distance a lower bound
+    np.maximum(low * np.float32(1 - 1e-5) - np.float32(1e-2), 0, out=low)
+    sums = (nq[:, None] + nx[None, :]).astype(np.float32)
+    bound = (sums - low * low) / 2 + sums * np.float32(1e-6) + np.float32(0.5)
+    bound[xid[None, :] == qid[:, None]] = -np.inf
+
+    first = min(len(x), max(64, k))
+    at = np.argpartition(-bound, first - 1, axis=1)[:, :first] if first < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+    scores = np.einsum("md,mtd->mt", q, x[at])
+    scores[~np.isfinite(np.take_along_axis(bound, at, 1))] = -np.inf
+    least = np.partition(scores, first - k, axis=1)[:, first - k] if first >= k else np.full(len(q), -np.inf)
+
+    need = (bound >= least[:, None]) & np.isfinite(bound)
+    some = np.flatnonzero(need.any(0))
+    scores = np.where(need[:, some], q @ x[some].T, -np.inf)
+    row, col = np.nonzero(np.isfinite(scores) & (scores >= least[:, None]))
+    ids, got = xid[some[col]], scores[row, col]
+    order = np.lexsort((ids, -got, row))
+    row, ids, got = row[order], ids[order], got[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return qid[row[keep]], ids[keep], got[keep]
 
 
 def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, pivots: int = 12, tile: int = 32_768, query_tile: int = 4_096) -> DataFrame:
@@ -139,12 +143,11 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
                 d = max(x.shape[1], qv.shape[1], *(len(z) for z in table_of_pivots), 1) if table_of_pivots else max(x.shape[1], qv.shape[1])
                 fit = lambda m, d=d: np.pad(m, ((0, 0), (0, d - m.shape[1])))
                 pv = np.array([np.pad(z, (0, d - len(z))) for z in table_of_pivots]).reshape(-1, d)
-                for a in range(0, len(qid), 512):
-                    got = search_tile(fit(qv[a : a + 512]), qid[a : a + 512], fit(x), xid, pv, k)
-                    yield pd.DataFrame({
-                        "query_id": np.concatenate([g[0] for g in got]).astype(np.int64), "vec_id": np.concatenate([g[1] for g in got]).astype(np.int64),
-                        "score": np.concatenate([g[2] for g in got]).astype(np.int64),
-                    })
+                qv, x = fit(qv), fit(x)
+                for a in range(0, len(qid), 256):
+                    for c in range(0, len(xid), 8192):
+                        got = search_tile(qv[a : a + 256], qid[a : a + 256], x[c : c + 8192], xid[c : c + 8192], pv, k)
+                        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (g.astype(np.int64) for g in got), strict=True)))
 
     local = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
