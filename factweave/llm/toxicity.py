@@ -15,9 +15,9 @@ from .crf import Crf, logistic, sigmoid, train
 from .training import fold, labelled_sample
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6_000
+SAMPLE = 4_000
 #: Of these so many, at most, give token chains.
-CHAINS = 1_500
+CHAINS = 1_000
 #: Least log-likelihood ratio and log-odds of a candidate token.
 EVIDENCE, ODDS = 16.0, 1.5
 TOKEN = re.compile(r"\n|[^\W_]+")
