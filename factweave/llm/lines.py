@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 NO_ID = -(2**63)
 #: Lines with fewer words stay: one edit would be more than a fifth of them.
@@ -26,10 +26,13 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\t\r\x0B\f]+"), lambda w: w != "")
 
 
-_HALVES = """array_distinct(array(
-  xxhash64('p', n div 2, slice(w, 1, n div 2)), xxhash64('p', (n - 1) div 2, slice(w, 1, (n - 1) div 2)),
-  xxhash64('s', n - n div 2, slice(w, n div 2 + 1, n - n div 2)),
-  xxhash64('s', n - 1 - (n - 1) div 2, slice(w, (n - 1) div 2 + 2, n - 1 - (n - 1) div 2))))"""
+# Lengths of the front and end that are looked at: half a line at most, the same
+# for a line and one a word longer; longer lines share lengths in steps of four.
+_SIDE = "if({n} < 16, ({n}) div 2, ({n}) div 2 - ({n}) div 2 % 4)"
+_HALVES = (
+    f"flatten(transform(array_distinct(array({_SIDE.format(n='n')}, {_SIDE.format(n='n - 1')})), "
+    "k -> array(xxhash64('p', k, slice(w, 1, k)), xxhash64('s', k, slice(w, n - k + 1, k)))))"
+)
 _M = "1099511627775L"  # 40 bits: sums of them over a line can't overflow
 
 
@@ -41,16 +44,17 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     split = base.select("dk", "th", F.posexplode(_lines(F.col("text"))).alias("ln", "line")).select("dk", "th", "ln", _words(F.col("line")).alias("w"))
     split = split.withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    seen = cut(split.select("dk", "th", "ln", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"), F.expr(_HALVES).alias("halves")))
+    seen = stored(split.select("dk", "th", "ln", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"), F.expr(_HALVES).alias("halves")))
 
     # Distinct lines with their first place; copies are combined before the shuffle.
     first = seen.groupBy("a", "b").agg(F.min(F.struct("dk", "th", "ln")).alias("f"))
-    # One edit leaves one half of a line as it was: lines that share no half with
-    # an unlike line have no near one and emit nothing.
-    half = seen.select("a", "b", F.explode("halves").alias("half"))
+    # One edit leaves a line's front or its end as it was: lines that share
+    # neither with an unlike line have no near one and emit nothing.
+    half = seen.select("a", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("half")
-    may = half.join(shared, "half", "left_semi").select("a", "b").distinct()
-    open_ = first.join(may, ["a", "b"], "left_semi")
+    # Each step is cut, so that its shuffles can go before the next one's are written.
+    may = cut(half.join(shared, "half", "left_semi").select("a").distinct())
+    open_ = first.join(may, "a", "left_semi")
 
     wanted = open_.select("f.dk", "f.th", "f.ln", "a", "b").groupBy("dk", "th").agg(F.collect_list(F.struct("ln", "a", "b")).alias("want"))
     got = base.join(wanted, ["dk", "th"]).select("dk", "th", _lines(F.col("text")).alias("ls"), "want")
@@ -68,21 +72,21 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # A word replaced: the same place left out, all else in place.
     replaced = hashed.select("a", "b", "f", F.explode(F.expr("transform(p, (x, i) -> xxhash64(n, i, sp - x))")).alias("key"))
     least = replaced.groupBy("key").agg(F.min(F.struct("f", "a", "b")).alias("e"), F.count("*").alias("c")).where("c > 1").select("key", "e")
-    pairs = replaced.join(least, "key").where("f > e.f").select("a", "b", F.col("e.a").alias("ea"), F.col("e.b").alias("eb"))
+    pairs = cut(replaced.join(least, "key").where("f > e.f").select("a", "b", F.col("e.a").alias("ea"), F.col("e.b").alias("eb")).distinct())
     # A word deleted: the other words' sum is that of a whole line one word shorter.
     longer = hashed.select("a", "b", "f", F.explode(F.expr("filter(transform(g, (x, i) -> if(new[i], xxhash64(n - 1, sg - x), NULL)), x -> x IS NOT NULL)")).alias("key"))
     whole = hashed.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("f").alias("wf"), F.xxhash64("n", "sg").alias("key"))
     both = longer.join(whole, "key")
     later = F.col("f") > F.col("wf")
-    pairs = pairs.union(both.select(
+    pairs = pairs.union(cut(both.select(
         F.when(later, F.col("a")).otherwise(F.col("wa")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("wb")).alias("b"),
         F.when(later, F.col("wa")).otherwise(F.col("a")).alias("ea"), F.when(later, F.col("wb")).otherwise(F.col("b")).alias("eb"),
-    )).distinct()
+    ).distinct()))
     # Verify on the words. Two lines within one edit agree up to a place and, one
     # word on in one or both, after it.
     early = lines.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("w").alias("ew"))
     checked = pairs.join(lines.select("a", "b", "w"), ["a", "b"]).join(early, ["ea", "eb"])
-    near = checked.where(within_one_edit("w", "ew")).select("a", "b").distinct()
+    near = cut(checked.where(within_one_edit("w", "ew")).select("a", "b").distinct())
 
     state = first.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left")
     gone = seen.select("a", "b", "dk", "th", "ln").join(state, ["a", "b"]).where(F.col("near") | (F.struct("dk", "th", "ln") != F.col("f")))
