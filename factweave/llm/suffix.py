@@ -184,6 +184,9 @@ def _group_first_digit(unpack, length: int):
         del blobs
         order = np.lexsort((c["pos"], c["th"], c["dk"], c["ctx"], c["key"]))
         c = {k: x[order] for k, x in c.items()}
+        # a repeated row is the same document: its anchors count once
+        twice = np.logical_and.reduce([c[k][1:] == c[k][:-1] for k in ("key", "ctx", "dk", "th", "pos")])
+        c = {k: x[np.concatenate([[True], ~twice])] for k, x in c.items()}
         same_key = np.concatenate([[False], c["key"][1:] == c["key"][:-1]])
         same = same_key & np.concatenate([[False], c["ctx"][1:] == c["ctx"][:-1]])
         group = np.cumsum(~same_key) - 1
@@ -274,6 +277,12 @@ def _judge(length: int):
                 return None
             t = t.combine_chunks()
             col = {k: t.column(k).to_numpy() for k in ("key", "rel", "dk", "th", "start", "n")}
+            # repeated rows have asked once each; their windows count once
+            by = np.lexsort(tuple(col.values()))
+            twice = by[1:][np.logical_and.reduce([x[by[1:]] == x[by[:-1]] for x in col.values()])]
+            if len(twice):
+                t = t.take(pa.array(np.setdiff1d(by, twice)))
+                col = {k: t.column(k).to_numpy() for k in col}
             text = t.column("bytes").to_pylist()
             size = np.maximum(col["n"], 1).astype(np.int64)
             row = np.repeat(np.arange(len(size)), size)

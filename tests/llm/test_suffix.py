@@ -50,3 +50,14 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_removed"], bytes(r["kept"])) for r in suffix.remove_repeats(odd).collect())
     first = brute([(0, text)])[0][1]
     assert [g[:2] for g in got] == [(-1, first), (1, 150), (2, 150), (2, 150), (3, 0)]
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_repeated_row_that_comes_first(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rows = corpus(seed=6)  # its last row is a repeat, its text stands nowhere before
+    rows += [(200, "more " + rows[-1][1][:900] + " end", "x")] * 2
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(frame(spark, rows)).collect())
+    want = brute(sorted({(d, t or "") for d, t, _ in rows}))
+    assert want[60][1] < want[60][0]
+    assert got == sorted((d, *want[d]) for d, _, _ in rows)
