@@ -32,7 +32,7 @@ def line_features(lines: list[str]) -> np.ndarray:
         k = max(1, len(words))
         rows.append([
             *((len(b) - len(b.translate(None, c))) / n for c in _CLASSES), math.log1p(len(b)), math.log1p(len(words)), len(set(words)) / k,
-            sum(map(eq, words, words[1:])) / k, min(20.0, len(line) / k), times[line] > 1, sum(not c.isascii() for c in line[:256]) / 256, not words,
+            sum(map(eq, words, words[1:])) / k, min(20.0, len(line) / k), times[line] > 1, (len(line) - len(line.encode("ascii", "ignore"))) / max(1, len(line)), not words,
         ])
     own = np.array(rows, dtype=np.float64).reshape(len(lines), OWN)
     out = np.zeros((len(lines), 3 * OWN))

@@ -106,3 +106,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert 7 in kept[2] and 7 not in kept[3] and kept[2] - kept[3] == {7}
     final = {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()}
     assert final == kept[3]
+
+
+def test_non_ascii_late_in_a_line():
+    line = "a" * 300 + "é" * 100
+    x = quality.line_features([line, "é" * 4, ""])
+    assert x[:, quality.OWN - 2].tolist() == [0.25, 1.0, 0.0]
