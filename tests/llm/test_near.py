@@ -91,3 +91,32 @@ def test_empty_and_null(spark):
     got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.components(odd).collect()}
     assert got[(7, 0)] == got[(9, 0)] == got[(None, 0)] == 7
     assert neardup.drop_near_duplicates(odd).count() == 2
+
+
+def test_near_groups_find_every_pair_at_the_limit(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        # five words replaced apart from each other: 25 unlike shingles on each side
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 229 + i % 60)]
+        v = list(w)
+        for x in range(5):
+            v[20 + 40 * x] = f"edit{i}x{x}"
+        rows += [(2 * i, " ".join(w), "x"), (2 * i + 1, " ".join(v), "x")]
+    similarity = lambda a, b: len(a & b) / len(a | b)
+    sets = [set(neardup.shingle_set(t, 5)[0].tolist()) for _, t, _ in rows]
+    assert all(0.8 <= similarity(sets[2 * i], sets[2 * i + 1]) <= 0.85 for i in range(300))
+    got = {r["dk"]: r["first_dk"] for r in neardup.near_groups(frame(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d, _, _ in rows}
+
+
+def test_prefix_join_alone_matches_brute_force(spark):
+    # a passage that all texts share and a grid that finds nothing
+    rng = np.random.default_rng(12)
+    shared = " ".join(f"s{x}" for x in range(40))
+    rows = [(i, shared + " " + " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 30))), "x") for i in range(120)]
+    sets = [set(neardup.shingle_set(t, 5)[0].tolist()) for _, t, _ in rows]
+    near = [(a, b) for a in range(120) for b in range(a + 1, 120) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = groups(range(120), near)
+    got = {r["dk"]: r["first_dk"] for r in neardup.near_groups(frame(spark, rows), tables=1, limit=0).collect()}
+    assert got == want and 1 < len(set(want.values())) < 120
