@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand earlier in the corpus."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    """All documents, without lines that stand earlier in the corpus, equal or
+    (lines of five or more words) within one edited word."""
+    return lines.dedup_lines(docs, short_copies=True).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

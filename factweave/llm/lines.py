@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut, stored, table
 
 NO_ID = -(2**63)
-#: Lines with fewer words stay: one edit would be more than a fifth of them.
+#: Lines with fewer words have no near ones: one edit would be more than a fifth of them.
 MIN_WORDS = 5
 
 
@@ -36,15 +36,17 @@ _HALVES = (
 _M = "1099511627775L"  # 40 bits: sums of them over a line can't overflow
 
 
-def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
     """(dk, th, gone): by document key the 0-based numbers of the lines that go."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"), text.alias("text"),
     )
     split = base.select("dk", "th", F.posexplode(_lines(F.col("text"))).alias("ln", "line")).select("dk", "th", "ln", _words(F.col("line")).alias("w"))
-    split = split.withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    seen = stored(split.select("dk", "th", "ln", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"), F.expr(_HALVES).alias("halves")))
+    split = split.withColumn("n", F.size("w")).where(F.col("n") >= (1 if short_copies else min_words))
+    # Short lines have no halves: they meet their copies only.
+    halves = F.when(F.col("n") >= min_words, F.expr(_HALVES))
+    seen = stored(split.select("dk", "th", "ln", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"), halves.alias("halves")))
 
     # Distinct lines with their first place; copies are combined before the shuffle.
     first = seen.groupBy("a", "b").agg(F.min(F.struct("dk", "th", "ln")).alias("f"))
@@ -106,7 +108,7 @@ def within_one_edit(x: str, y: str) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
     """``docs`` with text less the repeated lines; other columns stay, n_chars is
     set to the new length and n_removed_lines is added.
 
@@ -115,11 +117,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     insertion, deletion or replacement, stands earlier in the corpus (smaller
     doc_id, then hash of the text, then line number). Lines are judged on the
     input, not on what is left, so the result doesn't depend on order of work.
-    Shorter lines stay. A null text stays null; a text all of whose lines go
+    Shorter lines stay; with ``short_copies`` those of at least one word go if an
+    equal line stands earlier. A null text stays null; a text all of whose lines go
     becomes empty; a null doc_id counts as smaller than all; rows that repeat both
     doc_id and text are one document; an empty table gives no rows.
     """
-    dropped = mark_lines(docs, min_words)
+    dropped = mark_lines(docs, min_words, short_copies)
     kept_cols = [c for c in docs.columns if c != "n_removed_lines"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*kept_cols, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_dk"), F.xxhash64(text).alias("_th"))

@@ -91,6 +91,31 @@ def test_lines_that_share_most_words(spark):
     assert [r["doc_id"] for r in got.where("text <> ''").collect()] == [0]
 
 
+def test_equal_short_lines(spark):
+    rows = [(1, "All rights reserved.\none two three four\n\nx"), (2, "All  rights reserved.\none two three 4\n\nx\ny"), (3, "y\n \nAll rights reserved.\nAll rights reserved")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_copies=True)
+    assert {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in got.collect()} == {1: (rows[0][1], 0), 2: ("one two three 4\n\ny", 2), 3: (" \nAll rights reserved", 2)}
+    rows = [(d, t) for d, t, _ in corpus(seed=5)[:-2]]
+    rows += [(200 + i, f"unlike words {i} stand in here too\nshort line\n\nshort line {i % 2}") for i in range(6)]
+    first, want = {}, kept_lines(rows)
+    for d, t in sorted(rows):
+        for i, line in enumerate((t or "").split("\n")):
+            if 0 < len(line.split()) < 5:
+                first.setdefault(tuple(line.split()), (d, i))
+    for d, t in rows:
+        # kept_lines leaves every short line: walk both to tell which of them are copies
+        left, at = (want[d] or "").split("\n"), 0
+        for i, line in enumerate((t or "").split("\n")):
+            if at < len(left) and left[at] == line:
+                if 0 < len(line.split()) < 5 and first[tuple(line.split())] != (d, i):
+                    del left[at]
+                else:
+                    at += 1
+        want[d] = None if t is None else "\n".join(left)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_copies=True)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
