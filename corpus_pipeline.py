@@ -16,8 +16,11 @@ from factweave.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5 by a model of the labelled documents."""
+    """Documents scored under 0.5 by a model of the labelled documents; all of them
+    where the labels give no model (none, or all alike)."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    if model.crf is None:
+        return docs
     return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
 
 

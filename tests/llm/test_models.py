@@ -112,3 +112,13 @@ def test_non_ascii_late_in_a_line():
     line = "a" * 300 + "é" * 100
     x = quality.line_features([line, "é" * 4, ""])
     assert x[:, quality.OWN - 2].tolist() == [0.25, 1.0, 0.0]
+
+
+def test_pipeline_without_a_toxicity_model(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
+    for name, labels in (("none", []), ("toxic", [(1, 1), (2, 1)])):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.drop_toxic(spark, docs, d)
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
