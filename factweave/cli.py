@@ -20,7 +20,8 @@ def main(argv: list[str] | None = None) -> None:
     for name, args in {
         "ingest": ["folder", "--dry-run"], "alias-index": [], "embed": ["--model", "--force"], "reconcile-refs": [], "cleanup-conflicts": [], "inspect": [], "resolve": [],
         "build": ["folder"], "index": ["folder"], "entity-counts": [], "predicate-counts": ["--type"], "top-values": ["predicate", "--limit"],
-        "search": ["query", "--k", "--hops", "--index"], "show": ["id"], "llm-test": [],
+        "search": ["query", "--k", "--hops", "--index"], "show": ["id", "--format"], "llm-test": [], "list": ["type", "--contains", "--limit"],
+        "clear-aliases": [], "clear-llm": [], "clear-reconciled": [], "gen-md": ["folder", "--type", "--limit", "--retries", "--force"], "page": ["type", "id", "folder"],
     }.items():
         q = sub.add_parser(name)
         for a in args:
@@ -35,10 +36,14 @@ def main(argv: list[str] | None = None) -> None:
         "reconcile-refs": engine.reconcile_refs, "cleanup-conflicts": lambda: engine.cleanup_conflicts(chat), "inspect": engine.inspect, "resolve": engine.resolve,
         "build": lambda: engine.build(a.folder), "index": lambda: engine.index(a.folder), "entity-counts": engine.entity_counts, "predicate-counts": lambda: engine.predicate_counts(a.type),
         "top-values": lambda: engine.top_values(a.predicate, int(a.limit or 20)), "search": lambda: engine.search(a.query, int(a.k or 10), int(a.hops or 0), a.index),
-        "show": lambda: engine.show(a.id), "llm-test": lambda: chat.chat("Answer briefly.", "Say ok."),
+        "show": lambda: engine.shown(a.id, a.format or "text"), "llm-test": lambda: chat.chat("Answer briefly.", "Say ok."), "list": lambda: engine.list_entities(a.type, a.contains, a.limit and int(a.limit)),
+        "clear-aliases": engine.clear_aliases, "clear-llm": engine.clear_llm, "clear-reconciled": engine.clear_reconciled,
+        "gen-md": lambda: engine.generate_pages(chat, a.folder, a.type, a.limit and int(a.limit), int(a.retries or 3), a.force), "page": lambda: engine.page(chat, a.type, a.id, a.folder),
     }[a.cmd]()
     if hasattr(out, "show"):
         out.show(200, truncate=False)
+    elif isinstance(out, str):
+        print(out)
     elif out is not None:
         print(json.dumps(out, ensure_ascii=False, default=str))
 

@@ -24,17 +24,35 @@ class EmbedClient(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+# Where each provider answers, and the variable that holds its key.
+PROVIDERS = {
+    "lmstudio": ("http://127.0.0.1:1234/v1", None),
+    "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"),
+    "openrouter": ("https://openrouter.ai/api/v1", "OPENROUTER_API_KEY"),
+    "gemini": ("https://generativelanguage.googleapis.com/v1beta", "GEMINI_API_KEY"),
+    "anthropic": ("https://api.anthropic.com/v1", "ANTHROPIC_API_KEY"),
+}
+
+
 @dataclass
 class ModelConfig:
-    """From a TOML file's [llm] table, then the environment, then defaults."""
+    """From a TOML file's [llm] table, then the environment, then defaults. An
+    empty base_url is the provider's own; an empty api_key is looked up as
+    FACTWEAVE_API_KEY, then as the provider's variable."""
 
-    provider: str = "openai"
-    base_url: str = "http://localhost:1234/v1"
+    provider: str = "lmstudio"
+    base_url: str = ""
     model: str = ""
     api_key: str = ""
     embed_model: str = ""
-    timeout: float = 120.0
-    retries: int = 4
+    timeout: float = 30.0
+    retries: int = 8
+    concurrency: int = 4
+
+    def __post_init__(self) -> None:
+        if self.provider not in PROVIDERS:
+            raise ValueError(f"unknown provider {self.provider}")
+        self.base_url = (self.base_url or PROVIDERS[self.provider][0]).rstrip("/")
 
     @classmethod
     def load(cls, path: str | None = None, env: dict[str, str] | None = None) -> ModelConfig:
@@ -43,10 +61,18 @@ class ModelConfig:
         if path and os.path.exists(path):
             with open(path, "rb") as f:
                 got = tomllib.load(f).get("llm", {})
-        for k in ("provider", "base_url", "model", "api_key", "embed_model"):
+        for k, kind in {"provider": str, "base_url": str, "model": str, "embed_model": str, "timeout": float, "retries": int, "concurrency": int}.items():
             if v := env.get(f"FACTWEAVE_{k.upper()}"):
-                got[k] = v
-        return cls(**{k: v for k, v in got.items() if k in cls.__dataclass_fields__})
+                got[k] = kind(v)
+        made = cls(**{k: v for k, v in got.items() if k in cls.__dataclass_fields__})
+        name = PROVIDERS[made.provider][1]
+        made.api_key = made.api_key or env.get("FACTWEAVE_API_KEY", "") or (env.get(name, "") if name else "not needed")
+        return made
+
+    def key(self) -> str:
+        if not self.api_key:
+            raise ValueError(f"no key for {self.provider}: set FACTWEAVE_API_KEY or {PROVIDERS[self.provider][1]}")
+        return self.api_key
 
 
 def backoff(attempt: int, cap: float = 60.0, retry_after: float | None = None, rng: random.Random | None = None) -> float:
@@ -86,20 +112,25 @@ class HttpClient:
                 return json.load(r)
 
         self.usage["calls"] += 1
-        return with_retries(call, self.config.retries)
+        got = with_retries(call, self.config.retries)
+        # each interface has its own names for the same two counts
+        said = got.get("usage") or got.get("usageMetadata") or {}
+        self.usage["input"] += int(said.get("prompt_tokens") or said.get("input_tokens") or said.get("promptTokenCount") or 0)
+        self.usage["output"] += int(said.get("completion_tokens") or said.get("output_tokens") or said.get("candidatesTokenCount") or 0)
+        return got
 
     def chat(self, system: str, user: str) -> str:
         c = self.config
         if c.provider == "gemini":
             body = {"system_instruction": {"parts": [{"text": system}]}, "contents": [{"role": "user", "parts": [{"text": user}]}]}
-            got = self._post(f"{c.base_url}/models/{c.model}:generateContent", body, {"x-goog-api-key": c.api_key})
+            got = self._post(f"{c.base_url}/models/{c.model}:generateContent", body, {"x-goog-api-key": c.key()})
             return "".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"])
         if c.provider == "anthropic":
             body = {"model": c.model, "max_tokens": 4096, "system": system, "messages": [{"role": "user", "content": user}]}
-            got = self._post(f"{c.base_url}/messages", body, {"x-api-key": c.api_key, "anthropic-version": "2023-06-01"})
+            got = self._post(f"{c.base_url}/messages", body, {"x-api-key": c.key(), "anthropic-version": "2023-06-01"})
             return "".join(p.get("text", "") for p in got["content"])
         body = {"model": c.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        return self._post(f"{c.base_url}/chat/completions", body, {"Authorization": f"Bearer {c.api_key}"})["choices"][0]["message"]["content"]
+        return self._post(f"{c.base_url}/chat/completions", body, {"Authorization": f"Bearer {c.key()}"})["choices"][0]["message"]["content"]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         c = self.config
@@ -107,8 +138,8 @@ class HttpClient:
             raise ValueError("this provider has no embeddings")
         if c.provider == "gemini":
             body = {"requests": [{"model": f"models/{c.embed_model}", "content": {"parts": [{"text": t}]}} for t in texts]}
-            return [e["values"] for e in self._post(f"{c.base_url}/models/{c.embed_model}:batchEmbedContents", body, {"x-goog-api-key": c.api_key})["embeddings"]]
-        got = self._post(f"{c.base_url}/embeddings", {"model": c.embed_model, "input": texts}, {"Authorization": f"Bearer {c.api_key}"})
+            return [e["values"] for e in self._post(f"{c.base_url}/models/{c.embed_model}:batchEmbedContents", body, {"x-goog-api-key": c.key()})["embeddings"]]
+        got = self._post(f"{c.base_url}/embeddings", {"model": c.embed_model, "input": texts}, {"Authorization": f"Bearer {c.key()}"})
         return [e["embedding"] for e in sorted(got["data"], key=lambda e: e["index"])]
 
 

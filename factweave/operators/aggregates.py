@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_string
+from ..functions.text import json_string, value_to_string
 
 
 def entity_counts(entities: DataFrame) -> DataFrame:
@@ -32,6 +32,14 @@ def count_with_object(facts: DataFrame, predicate: str, value: str) -> DataFrame
     return facts.where((F.col("predicate") == predicate) & matches(value)).agg(F.count("*").alias("n"))
 
 
+def count_predicate(facts: DataFrame, predicate: str, value: str) -> DataFrame:
+    """(n): of a reference the rows that point at ``value``, else
+    ``count_with_object``."""
+    if predicate.startswith("ref:"):
+        return facts.where((F.col("predicate") == predicate) & (value_to_string(F.col("object_json")) == value)).agg(F.count("*").alias("n"))
+    return count_with_object(facts, predicate, value)
+
+
 def summary(**tables: DataFrame) -> DataFrame:
     """(name, n) of every table given."""
     out = None

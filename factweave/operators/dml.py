@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string
+from ..sources.shared import checkpointed
 
 
 def delta_status(incoming: DataFrame, documents: DataFrame) -> DataFrame:
@@ -33,41 +34,66 @@ def without_facts(conflicts: DataFrame, gone: DataFrame) -> DataFrame:
     return conflicts.join(a, "fact_a_id", "left_anti").join(b, "fact_b_id", "left_anti").select(*conflicts.columns)
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """``old`` and the rows of ``new`` whose key it lacks, each key's first only."""
+def new_rows(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The rows of ``new`` whose key ``old`` lacks, each key's first by ``order``
+    only (without one, the least row). First rows are found by a partial
+    aggregation, so repeats of a key don't travel."""
+    rest = [c for c in old.columns if c not in keys and c in new.columns]
     fresh = new.join(old.select(*keys), keys, "left_anti")
-    by = Window.partitionBy(*keys).orderBy(order or keys[0])
-    return old.unionByName(fresh.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(*old.columns), allowMissingColumns=True)
+    if not order and not rest:
+        return fresh.select(*keys).distinct()
+    first = F.min(F.struct(*([F.col(order).alias("_o")] if order else []), *rest)).alias("_x")
+    return fresh.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``old`` and the ``new_rows``."""
+    return old.unionByName(new_rows(old, new, keys, order), allowMissingColumns=True)
 
 
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of ``old`` replaced by those of ``new`` with the same key, last by
-    ``order``."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(order))
-    last = new.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(*old.columns)
+    ``order``, ties by the largest other values."""
+    rest = [c for c in old.columns if c not in keys]
+    top = F.max(F.struct(F.col(order).alias("_o"), *rest)).alias("_x")
+    last = new.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest]).select(*old.columns)
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(last)
 
 
 def number_on(new: DataFrame, order: list[str], top: int) -> DataFrame:
-    """``new`` with ids from ``top`` + 1 on, in ``order``.
-
-    Numbers come from each range partition's count, not from one sorted task."""
-    ranged = new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    base, offsets = int(top), {}
+    """``new`` with ids from ``top`` + 1 on, in ``order``; a column ``id`` is replaced.
+
+    Ranges are drawn anew whenever a plan runs, so the ranged rows are written
+    once, each with its range and its place there; the ranges' sizes are counted
+    on what was written, and no row passes through one sorted task."""
+    ranged = new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    fixed = checkpointed(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}))
+    sizes = {r["_range"]: r["n"] for r in fixed.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    base, starts = int(top), []
     for p in sorted(sizes):
-        offsets[p] = base
+        starts.append((p, base))
         base += sizes[p]
-    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("_p")] if offsets else F.lit(base)
-    local = F.col("_i").bitwiseAND((1 << 33) - 1)
-    return ranged.withColumn("id", (start + local + 1).cast("long")).drop("_p", "_i")
+    at = fixed.sparkSession.createDataFrame(starts, "_range int, _start long")
+    ided = fixed.join(F.broadcast(at), "_range")  # as many rows as ranges
+    return ided.withColumn("id", (F.col("_start") + F.col("_place") + 1).cast("long")).drop("_range", "_place", "_start")
+
+
+def top_id(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+
+
+def numbered(facts: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` in the columns of ``facts``, with ids that go on from the largest
+    one; columns that it lacks are null."""
+    ided = number_on(new, order, top_id(facts))
+    have = set(ided.columns)
+    return ided.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in facts.dtypes])
 
 
 def append_facts(facts: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """``facts`` and ``new`` with ids that go on from the largest one."""
-    top = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    ided = number_on(new, order, top)
-    return facts.unionByName(ided.select(*[c for c in facts.columns if c in ided.columns]), allowMissingColumns=True)
+    return facts.unionByName(numbered(facts, new, order))
 
 
 def clear_llm(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -110,3 +136,9 @@ def entity_page(entities: DataFrame, entity_type: str, q: str | None = None, off
     if q:
         e = e.where(F.col("id").like(f"%{q}%"))
     return e.select("id").orderBy("id").offset(offset).limit(min(limit, 1000))
+
+
+def entities_holding(entities: DataFrame, entity_type: str, contains: str | None = None) -> DataFrame:
+    """Ids of a type that hold ``contains`` literally, in any case."""
+    e = entities.where(F.col("entity_type") == entity_type)
+    return (e.where(F.contains(F.lower("id"), F.lower(F.lit(contains)))) if contains else e).select("id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_BYTES = 8000
 SYSTEM = (
@@ -43,28 +45,45 @@ def parse_answer(answer: str) -> tuple[list[dict], list[dict]]:
     return rows("facts", ("subject", "predicate", "object")), rows("refs", ("entity_id",))
 
 
-def extract_sections(work: DataFrame, client) -> DataFrame:
-    """Answers for ``work(section, text, parent_subject, candidates)``; a section
-    without candidates isn't asked about. A failed call gives no rows."""
+def extract_sections(work: DataFrame, client, concurrency: int = 1) -> DataFrame:
+    """Answers for ``work(section, text, parent_subject, candidates)``, up to
+    ``concurrency`` calls at once in each task.
+
+    Rows by kind: ``fact`` and ``ref`` from the answer, ``done`` for each section
+    that was answered or has no candidates (then it isn't asked about), ``usage``
+    with a task's counters. A failed call gives no rows."""
+
+    def one(row: tuple) -> list[tuple]:
+        section, text, parent, cands = row
+        done = [(section, "done", None, None, None, None, None, None)]
+        if cands is None or not len(cands):
+            return done
+        try:
+            facts, refs = parse_answer(client.chat(SYSTEM, prompt(text, list(cands), parent)))
+            said = [(section, "fact", str(f["subject"]), str(f["predicate"]), json.dumps(f["object"], ensure_ascii=False, sort_keys=True), None, None, 0.7) for f in facts]
+            said += [(section, "ref", None, None, None, str(r["entity_id"]), r.get("evidence_span"), float(r.get("confidence") or 0.0)) for r in refs]
+        except Exception:  # a section's failure is no reason to lose the others
+            return []
+        return said + done
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in ANSWER.split(", ")]
-        for p in parts:
-            rows = []
-            for section, text, parent, cands in zip(p["section"], p["text"], p["parent_subject"], p["candidates"], strict=True):
-                if cands is None or not len(cands):
-                    continue
-                try:
-                    facts, refs = parse_answer(client.chat(SYSTEM, prompt(text, list(cands), parent)))
-                except Exception:  # a section's failure is no reason to lose the others
-                    continue
-                rows += [(section, "fact", str(f["subject"]), str(f["predicate"]), json.dumps(f["object"], ensure_ascii=False, sort_keys=True), None, None, 0.7) for f in facts]
-                rows += [(section, "ref", None, None, None, str(r["entity_id"]), r.get("evidence_span"), float(r.get("confidence") or 0.0)) for r in refs]
-            yield pd.DataFrame(rows, columns=names)
+        before = dict(getattr(client, "usage", {}))
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for p in parts:
+                got = pool.map(one, zip(p["section"], p["text"], p["parent_subject"], p["candidates"], strict=True))
+                yield pd.DataFrame([r for rows in got for r in rows], columns=names)
+        used = {k: v - before.get(k, 0) for k, v in getattr(client, "usage", {}).items()}
+        yield pd.DataFrame([(None, "usage", None, k, None, None, None, float(v)) for k, v in used.items() if v], columns=names)
 
     return work.select("section", "text", "parent_subject", "candidates").mapInPandas(run, ANSWER)
 
 
+def usage_of(answers: DataFrame) -> DataFrame:
+    """(name, n): calls and tokens of all tasks."""
+    return answers.where("kind = 'usage'").groupBy(F.col("predicate").alias("name")).agg(F.sum("confidence").cast("long").alias("n"))
+
+
 def classify(evidence: DataFrame, client) -> DataFrame:
     """Cardinality of each predicate in ``evidence``; list where the answer fails."""
 

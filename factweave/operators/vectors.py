@@ -56,12 +56,48 @@ def embed_cards(cards: DataFrame, client, model: str, created_at: int, batch: in
     return cards.select("id", "card", "card_hash").mapInPandas(run, "entity_id string, embedding array<float>, model string, card_hash string, created_at long")
 
 
+def embed_new_sections(sections: DataFrame, cache: DataFrame, client, model: str, created_at: int, batch: int = 64) -> DataFrame:
+    """Rows of ``section_embeddings`` for the texts of ``sections(section, text)``
+    that it lacks for that model; equal texts are embedded once."""
+    texts = sections.select(F.sha2("text", 256).alias("id"), F.col("text").alias("card")).where("id IS NOT NULL").dropDuplicates(["id"])
+    known = cache.where(F.col("model") == model).select(F.col("section_hash").alias("id"))
+    new = texts.join(known, "id", "left_anti").withColumn("card_hash", F.col("id"))
+    return embed_cards(new, client, model, created_at, batch).select(F.col("entity_id").alias("section_hash"), "embedding", "model", "created_at")
+
+
+def section_vectors(sections: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """(section, embedding) by the text's hash and the model."""
+    known = cache.where(F.col("model") == model).groupBy("section_hash").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    return sections.select("section", F.sha2("text", 256).alias("section_hash")).join(known, "section_hash").select("section", "embedding")
+
+
+def entity_vectors(embeddings: DataFrame, entities: DataFrame, model: str) -> DataFrame:
+    """(id, entity_type, vec) of the stored embeddings of one model whose entity
+    is known."""
+    v = embeddings.where(F.col("model") == model).select(F.col("entity_id").alias("id"), F.col("embedding").alias("vec"))
+    return v.join(entities.select("id", "entity_type"), "id").select("id", "entity_type", "vec")
+
+
+#: Queries in a block, and hash classes of the vectors that a block meets one by one.
+BLOCK, CLASSES = 256, 64
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) by cosine for a small query set against all
-    vectors; scores that aren't finite are dropped."""
-    # The queries are the stated set; each partition of the vectors meets them once.
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    pairs = vectors.join(F.broadcast(q)).select("id", "vec", F.explode("qs").alias("q")).select("id", "q.query_id", F.round(cosine(F.col("vec"), F.col("q.qv")), 6).alias("score"))
+    """(query_id, id, score, rank) by cosine, for a stated query set against all
+    ``vectors(id, vec)``; ties go to the smaller id, scores that aren't finite are
+    dropped, vectors of unequal length have score 0.
+
+    Queries are packed in blocks of about BLOCK; each block is sent to each of
+    CLASSES hash classes of the vectors, so that neither side is held whole
+    anywhere. A class and block give at most ``k`` rows a query to the final
+    ranking."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # about BLOCK queries a row
+    packed = packed.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
+    v = vectors.withColumn("class", F.pmod(F.xxhash64("id"), F.lit(CLASSES)).cast("int"))
+    pairs = v.join(packed, "class").select("id", "vec", F.explode("qs").alias("q")).select("id", "q.query_id", F.round(cosine(F.col("vec"), F.col("q.qv")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.where(~F.isnan("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,14 +18,15 @@ MANUAL = ("<!-- manual:start -->", "<!-- manual:end -->")
 TEMPLATE = "---\nid: {id}\ntype: {type}\nsources: {sources}\n---\n\n# {label}\n\n{attributes}{outgoing}{incoming}{aliases}\n{manual}\n"
 
 
-def render_context(facts: DataFrame, entities: DataFrame, aliases: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per entity: label, source count, and its attributes, references
-    both ways and aliases as sorted lists."""
-    attr = facts.where(~F.col("predicate").startswith("ref:")).select("subject", "predicate", display(F.col("object_json")).alias("v"))
-    attr = attr.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("predicate", "v"))).alias("attributes"))
+def render_context(facts: DataFrame, entities: DataFrame, aliases: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per entity: label, source count, and its attributes with their
+    origin, references both ways and aliases as sorted lists. ``known`` are the
+    entities that may refer to them (all of ``entities`` by default)."""
+    attr = facts.where(~F.col("predicate").startswith("ref:")).select("subject", "predicate", display(F.col("object_json")).alias("v"), "adapter", F.col("confidence").cast("double").alias("confidence"), "locator")
+    attr = attr.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("predicate", "v", "adapter", "confidence", "locator"))).alias("attributes"))
     refs = facts.where(F.col("predicate").startswith("ref:")).select("subject", ref_target(F.col("predicate")).alias("kind"), string_only(F.col("object_json")).alias("target"))
     out = refs.groupBy("subject").agg(F.sort_array(F.collect_set(F.struct("kind", "target"))).alias("outgoing"))
-    back = refs.join(entities.select(F.col("id").alias("subject"), "entity_type"), "subject").groupBy(F.col("target").alias("subject")).agg(F.sort_array(F.collect_set(F.struct(F.col("entity_type").alias("kind"), F.col("subject").alias("target")))).alias("incoming"))
+    back = refs.join((entities if known is None else known).select(F.col("id").alias("subject"), "entity_type"), "subject").groupBy(F.col("target").alias("subject")).agg(F.sort_array(F.collect_set(F.struct(F.col("entity_type").alias("kind"), F.col("subject").alias("target")))).alias("incoming"))
     names = aliases.groupBy(F.col("entity_id").alias("subject")).agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
     src = facts.groupBy("subject").agg(F.countDistinct("adapter").alias("sources"))
     e = entities.join(labels, "id").withColumn("subject", F.col("id"))
@@ -36,10 +38,11 @@ def render_context(facts: DataFrame, entities: DataFrame, aliases: DataFrame, la
 def render(row: dict, template: str = TEMPLATE, manual: str = "") -> str:
     link = lambda x: f"- [{x['target']}](../{re.sub('[^A-Za-z0-9_-]', '_', x['kind'])}/{re.sub('[^A-Za-z0-9_-]', '_', x['target'])}.md)\n"
     part = lambda title, lines: f"## {title}\n\n{''.join(lines)}\n" if lines else ""
+    origin = lambda x: f"{x['adapter']}, {x['confidence']:.2f}" + (f", {x['locator']}" if x["locator"] else "")
     seq = lambda k: [] if row.get(k) is None else list(row[k])
     return template.format(
         id=row["id"], type=row["entity_type"], sources=int(row.get("sources") or 0), label=row["label"],
-        attributes=part("Attributes", [f"- **{x['predicate']}**: {x['v']}\n" for x in seq("attributes") if x["v"] is not None]),
+        attributes=part("Attributes", [f"- **{x['predicate']}**: {x['v']} ({origin(x)})\n" for x in seq("attributes") if x["v"] is not None]),
         outgoing=part("References", [link(x) for x in seq("outgoing")]), incoming=part("Referenced by", [link(x) for x in seq("incoming")]),
         aliases=part("Also known as", [f"- {x}\n" for x in seq("aliases")]), manual="\n".join([MANUAL[0], manual.strip("\n"), MANUAL[1]]),
     )
@@ -62,35 +65,69 @@ def manual_block(text: str) -> str:
     return text[a + len(MANUAL[0]) : b].strip("\n") if 0 <= a < b else ""
 
 
+def put_file(target: str, text: str) -> None:
+    """Written beside and renamed: readers see the old text or the new one."""
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    beside = f"{target}.{uuid.uuid4().hex}.tmp"
+    with open(beside, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(beside, target)
+
+
+def put_page(target: str, text: str) -> str:
+    """Write a page, keeping the manual block that is there; written or unchanged."""
+    old = ""
+    if os.path.exists(target):
+        with open(target, encoding="utf-8") as f:
+            old = f.read()
+    new = text.replace("\n".join([MANUAL[0], "", MANUAL[1]]), "\n".join([MANUAL[0], manual_block(old), MANUAL[1]]))
+    if new == old:
+        return "unchanged"
+    put_file(target, new)
+    return "written"
+
+
 def write_tree(pages: DataFrame, root: str) -> dict[str, int]:
-    """Write pages under a local folder, keeping manual blocks and leaving equal
-    files alone. The rows are streamed to the driver, whose folder it is."""
-    done = {"written": 0, "unchanged": 0}
-    for r in pages.select("path", "markdown").toLocalIterator():
-        target = os.path.join(root, r["path"])
-        old = open(target, encoding="utf-8").read() if os.path.exists(target) else ""
-        empty = "\n".join([MANUAL[0], "", MANUAL[1]])
-        new = r["markdown"].replace(empty, "\n".join([MANUAL[0], manual_block(old), MANUAL[1]]))
-        if new == old:
-            done["unchanged"] += 1
-            continue
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(f"{target}.tmp", "w", encoding="utf-8") as f:
-            f.write(new)
-        os.replace(f"{target}.tmp", target)
-        done["written"] += 1
-    return done
+    """Write pages (path, markdown) under ``root``, a folder that the executors
+    share: each task writes its own, and a task that is run again finds equal
+    files and leaves them alone."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"state": [put_page(os.path.join(root, path), text) for path, text in zip(p["path"], p["markdown"], strict=True)]}, dtype=str)
 
-def safe_name(s: str) -> str:
-    """A cache file's name part: no separators, no leading dot, never empty."""
-    kept = re.sub("[^A-Za-z0-9_.@+=~-]", "_", s)
-    return "_" if not kept else f"_{kept}" if kept.startswith(".") else kept
+    got = {r["state"]: r["n"] for r in pages.select("path", "markdown").mapInPandas(run, "state string").groupBy("state").agg(F.count("*").alias("n")).collect()}
+    return {"written": got.get("written", 0), "unchanged": got.get("unchanged", 0)}
 
 
-def cache_path(root: str, entity_type: str, entity_id: str) -> str:
-    return os.path.join(root, safe_name(entity_type), f"{safe_name(entity_id)}.md")
+def load_templates(folder: str) -> dict[str, str]:
+    """Template by type from a folder's <type>.md files."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".md"):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                out[name.removesuffix(".md")] = f.read()
+    return out
 
 
-def content_hash(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def as_json(shown: dict) -> str:
+    """An entity as JSON, objects parsed."""
+    facts = [{k: v for k, v in f.items() if k in ("predicate", "adapter", "confidence", "locator")} | {"object": json.loads(f["object_json"])} for f in shown["facts"]]
+    return json.dumps({"id": shown["id"], "entity_type": shown["type"], "fact_count": len(facts), "facts": facts}, ensure_ascii=False, indent=2)
+
+
+def as_text(shown: dict) -> str:
+    """An entity's attributes, then its references, a line each."""
+    def line(f: dict) -> str:
+        value = json.loads(f["object_json"])
+        return f"  {f['predicate']:30} {value if isinstance(value, str) else f['object_json']}  [{f['adapter']}@{f['confidence']:.2f}]"
+
+    refs = [line(f) for f in shown["facts"] if f["predicate"].startswith("ref:")]
+    head = [f"# {shown['type']}/{shown['id']}  ({len(shown['facts'])} facts)", *(line(f) for f in shown["facts"] if not f["predicate"].startswith("ref:"))]
+    return "\n".join([*head, *(["", "## related", *refs] if refs else [])])
+
+
+def safe_name(s: str) -> str:
+    """A cache file's name part: no separators, no leading dot, never empty."""
+    kept = re.sub("[^A-Za-z0-9_.@+=~-]", "_", s)
+    return "_" if not kept else f"_{kept}" if kept.startswith(".") else kept

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable
 from typing import Any, Protocol
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ref_target, value_to_string
-from ..operators import aggregates, aliases, facts as fa, graph
+from ..functions.text import value_to_string
+from ..operators import aggregates, graph
 from .engine import Engine
 
 MAX_TURNS = 12
@@ -57,21 +58,32 @@ class Tools:
         return self.engine.store.table(name)
 
     def neighbors(self, a: dict) -> list[dict]:
-        f, e = self._t("facts"), self._t("entities")
-        out = [graph.neighbours(f, i).withColumn("of", F.lit(i)) for i in wanted_ids(a)]
-        return [] if not out else [r for n in out for r in _rows(n.join(e, "id"), 300)]
+        near = graph.neighbours_of(self._t("facts"), wanted_ids(a)).join(self._t("entities"), "id")
+        return [r for rows in self._of(near, wanted_ids(a), "of", ["id"], 300).values() for r in rows]
+
+    @staticmethod
+    def _of(df: DataFrame, ids: list[str], key: str, order: list[str], most: int) -> dict[str, list[dict]]:
+        """At most ``most`` rows for each id, all ids in one query."""
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        out: dict[str, list[dict]] = {i: [] for i in ids}
+        for r in df.where(F.col(key).isin(ids)).withColumn("_n", nth).where(F.col("_n") <= most).orderBy(key, "_n").drop("_n").collect():
+            out[r[key]].append(r.asDict(recursive=True))
+        return out
 
     def get_facts(self, a: dict) -> dict:
-        f = self._t("facts")
-        return {i: _rows(fa.facts_for_subject(f, i).select("predicate", value_to_string(F.col("object_json")).alias("value"), "confidence"), 200) for i in wanted_ids(a)}
+        f = self._t("facts").select("subject", "id", "predicate", value_to_string(F.col("object_json")).alias("value"), "confidence")
+        got = self._of(f, wanted_ids(a), "subject", ["predicate", "id"], 200)
+        return {i: [{k: r[k] for k in ("predicate", "value", "confidence")} for r in rows] for i, rows in got.items()}
 
     def get_incoming(self, a: dict) -> dict:
-        f, e = self._t("facts"), self._t("entities")
-        got = {i: graph.incoming_of(f, e, i) for i in wanted_ids(a)}
-        return {i: {"total": d.count(), "rows": _rows(d.select("predicate", "subject", "subject_type"), 100)} for i, d in got.items()}
+        ids = wanted_ids(a)
+        refs = graph.incoming_refs(self._t("facts"), self._t("entities")).where(F.col("target").isin(ids)).select("target", "predicate", "subject", "subject_type")
+        total = {r["target"]: r["n"] for r in refs.groupBy("target").agg(F.count("*").alias("n")).collect()}
+        return {i: {"total": total.get(i, 0), "rows": [{k: r[k] for k in ("predicate", "subject", "subject_type")} for r in rows]} for i, rows in self._of(refs, ids, "target", ["predicate", "subject"], 100).items()}
 
     def get_aliases(self, a: dict) -> dict:
-        return {i: _rows(aliases.aliases_for(self._t("entity_aliases"), i).select("alias", "source", "confidence"), 100) for i in wanted_ids(a)}
+        got = self._of(self._t("entity_aliases").withColumn("less", -F.col("confidence")), wanted_ids(a), "entity_id", ["less", "alias"], 100)
+        return {i: [{k: r[k] for k in ("alias", "source", "confidence")} for r in rows] for i, rows in got.items()}
 
     def list_entities(self, a: dict) -> list[dict]:
         e = self._t("entities").where(F.col("entity_type") == str(a["type"])).orderBy("id")
@@ -79,17 +91,16 @@ class Tools:
 
     def count_predicate(self, a: dict) -> dict:
         f, p, v = self._t("facts"), str(a["predicate"]), str(a["value"])
-        if p.startswith("ref:"):
-            hit = f.where((F.col("predicate") == p) & (value_to_string(F.col("object_json")) == v))
-            return {"count": hit.count(), "type": f.select(ref_target(F.lit(p))).first()[0] if not f.isEmpty() else p[4:]}
-        return {"count": aggregates.count_with_object(f, p, v).first()["n"]}
+        n = aggregates.count_predicate(f, p, v).first()["n"]
+        return {"count": n, "type": p[4:]} if p.startswith("ref:") else {"count": n}
 
     def top_values(self, a: dict) -> list[dict]:
         return _rows(self.engine.top_values(str(a["predicate"]), min(int(a.get("limit") or 10), 100)), 100)
 
 
 def ask(engine: Engine, client: ToolClient, question: str, index: str | None = None) -> str:
-    """The model's answer after at most MAX_TURNS turns of tool calls."""
+    """The model's answer after at most MAX_TURNS turns of tool calls; RuntimeError
+    where it still calls tools then."""
     tools = Tools(engine, index)
     talk: list[dict] = [{"role": "user", "text": question}]
     for _ in range(MAX_TURNS):
@@ -99,4 +110,4 @@ def ask(engine: Engine, client: ToolClient, question: str, index: str | None = N
         talk.append({"role": "model", "calls": said["calls"]})
         for c in said["calls"]:
             talk.append({"role": "tool", "name": c["name"], "result": json.dumps(tools.call(c["name"], c.get("args") or {}), default=str, ensure_ascii=False)})
-    return "No answer within the allowed number of steps."
+    raise RuntimeError(f"no answer within {MAX_TURNS} turns")

@@ -1,6 +1,6 @@
 """The engine's questions over HTTP, with the standard library only.
 
-GET /health, /entities, /entities/TYPE, /entities/TYPE/ID, /conflicts, /conflicts/ID, /resolutions;
+GET /health, /entities, /entities/TYPE, /entities/TYPE/ID, /entities/TYPE/ID/page.md, /conflicts, /conflicts/ID, /resolutions;
 POST /retrieve {query, k, hops}, /conflicts/ID/resolve {side}, /resolutions/approve, /resolutions/reject, /ask {question}.
 """
 
@@ -12,6 +12,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import functions as F
 
+from .models import ChatClient
 from .operators import conflicts, dml
 from .plans.ask import ToolClient, ask
 from .plans.engine import Engine
@@ -25,8 +26,10 @@ def _rows(df, limit: int = 500) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
 
 
-def answer(engine: Engine, method: str, url: str, body: dict, client: ToolClient | None = None):
-    """The JSON value for a request."""
+def answer(engine: Engine, method: str, url: str, body: dict, client: ToolClient | None = None, index: str | None = None, chat: ChatClient | None = None, pages_at: str | None = None):
+    """The JSON value for a request. ``index`` is a written search index, without
+    which each question indexes the store anew; ``chat`` writes pages, which are
+    kept in ``pages_at``."""
     parts = urlsplit(url)
     q = {k: v[-1] for k, v in parse_qs(parts.query).items()}
     path = [unquote(x) for x in parts.path.strip("/").split("/") if x]
@@ -45,14 +48,17 @@ def answer(engine: Engine, method: str, url: str, body: dict, client: ToolClient
             if got["type"] != kind:
                 raise NotFound(entity_id)
             return got
+        case ("GET", ["entities", kind, entity_id, "page.md"]):
+            if chat is None:
+                raise ValueError("no model is set")
+            return {"markdown": engine.page(chat, kind, entity_id, pages_at)}
         case ("GET", ["conflicts"]):
             return _rows(conflicts.unresolved(store.table("conflicts")))
         case ("GET", ["conflicts", number]):
-            c = store.table("conflicts").where(F.col("id") == int(number))
-            rows = _rows(conflicts.conflict_sides(c, store.table("facts")).withColumn("recommended", conflicts.recommended_side()))
-            if not rows:
+            got = engine.conflict(int(number))
+            if got is None:
                 raise NotFound(number)
-            return rows[0]
+            return got
         case ("POST", ["conflicts", number, "resolve"]):
             engine.resolve_one(int(number), str(body.get("side")), int(body.get("at", 0)))
             return {"ok": True}
@@ -65,20 +71,20 @@ def answer(engine: Engine, method: str, url: str, body: dict, client: ToolClient
             engine.reject(body["subject"], body["predicate"], body["entity_id"], body["surface"], int(body.get("at", 0)))
             return {"ok": True}
         case ("POST", ["retrieve"]):
-            return _rows(engine.search(str(body["query"]), min(int(body.get("k", 10)), 50), int(body.get("hops", 0))))
+            return _rows(engine.search(str(body["query"]), min(int(body.get("k", 10)), 50), int(body.get("hops", 0)), index))
         case ("POST", ["ask"]):
             if client is None:
                 raise ValueError("no model is set")
-            return {"answer": ask(engine, client, str(body["question"]))}
+            return {"answer": ask(engine, client, str(body["question"]), index)}
     raise NotFound(parts.path)
 
 
-def serve(engine: Engine, port: int = 8080, client: ToolClient | None = None) -> ThreadingHTTPServer:
+def serve(engine: Engine, port: int = 8080, client: ToolClient | None = None, index: str | None = None, chat: ChatClient | None = None, pages_at: str | None = None) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
             try:
                 size = int(self.headers.get("Content-Length") or 0)
-                status, got = 200, answer(engine, self.command, self.path, json.loads(self.rfile.read(size) or b"{}"), client)
+                status, got = 200, answer(engine, self.command, self.path, json.loads(self.rfile.read(size) or b"{}"), client, index, chat, pages_at)
             except NotFound as e:
                 status, got = 404, {"error": f"not found: {e}"}
             except (KeyError, ValueError, TypeError) as e:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNIFF = 256
+#: Files of a folder's root that name what is to be passed over.
+IGNORE_FILES = (".gitignore", ".ignore")
 #: One row per record (kind r), section (s) or error (e).
 ITEM = "path string, adapter string, content_hash string, kind string, pos long, fields string, heading string, text string, locator string, error string"
 RECORDS = ["path", "adapter", "content_hash", "pos", "fields"]
@@ -51,7 +54,8 @@ def read_json(content: bytes, path: str) -> Iterator[tuple]:
     .jsonl and .ndjson one each, blank ones skipped."""
     text = content.decode("utf-8-sig")
     if path.lower().endswith((".jsonl", ".ndjson")):
-        values = [_load(line) for line in text.splitlines() if line.strip()]
+        # LF or CRLF: other line separators may stand inside a JSON string
+        values = [_load(line) for line in text.split("\n") if line.strip()]
     else:
         value = _load(text)
         values = value if isinstance(value, list) else [value]
@@ -139,7 +143,7 @@ def schema_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def parse(files: DataFrame, registry: Registry) -> DataFrame:
+def parse(files: DataFrame, registry: Registry, size: int = SNIFF) -> DataFrame:
     """Items of binaryFile rows. Each file is read by one task, in one go."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +152,7 @@ def parse(files: DataFrame, registry: Registry) -> DataFrame:
         names = [x.split()[0] for x in ITEM.split(", ")]
         for p in parts:
             for path, content in zip(p["path"], p["content"], strict=True):
-                adapter = registry.pick(path, bytes(content[:SNIFF]))
+                adapter = registry.pick(path, bytes(content[:size]))
                 if adapter is None:
                     continue
                 base, rows = (path, adapter.name, hashlib.sha256(content).hexdigest()), []
@@ -167,12 +171,69 @@ def parse(files: DataFrame, registry: Registry) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ITEM)
 
 
-def walk(spark: SparkSession, root: str, registry: Registry | None = None, glob: str | None = None) -> DataFrame:
-    """All items of the files under ``root``; hidden files are passed over."""
+@dataclass(frozen=True)
+class WalkOptions:
+    """``glob`` limits file names; ``ignore`` adds patterns to those of the root's
+    ignore files, which ``ignore_files`` turns off; ``sniff`` is how many bytes
+    adapters see; hidden files and folders need ``hidden``."""
+
+    glob: str | None = None
+    ignore: tuple[str, ...] = ()
+    ignore_files: bool = True
+    hidden: bool = False
+    sniff: int = SNIFF
+
+
+def ignore_regex(pattern: str) -> str | None:
+    """A line of an ignore file as a regular expression for paths below the root;
+    None for comments, blank lines and exceptions (which aren't supported)."""
+    p = pattern.rstrip()
+    if not p or p.startswith(("#", "!")):
+        return None
+    fixed, p = "/" in p.rstrip("/"), p.strip("/")
+    out, i = "", 0
+    while i < len(p):
+        if p.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif p.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(p[i], re.escape(p[i])), i + 1
+    return ("^" if fixed else "^(?:.*/)?") + out + "(?:/.*)?$"
+
+
+def listed(spark: SparkSession, root: str, options: WalkOptions = WalkOptions()) -> DataFrame:
+    """binaryFile rows of the files under ``root`` that aren't hidden or ignored.
+
+    Ignore patterns are those of the root's own ignore files; ones in deeper
+    folders are not read, and a pattern that starts with ! has no effect."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    base = fs.makeQualified(base)
+    patterns = list(options.ignore)
+    for name in IGNORE_FILES if options.ignore_files else ():
+        at = jvm.org.apache.hadoop.fs.Path(base, name)
+        if fs.exists(at):
+            stream = fs.open(at)
+            patterns += bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines()
+            stream.close()
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return parse(reader.load(root).where(~F.col("path").rlike(r"/\.[^/]*$")), registry or default_registry())
+    if options.glob:
+        reader = reader.option("pathGlobFilter", options.glob)
+    files = reader.load(root)
+    top = base.toUri().getPath().rstrip("/")
+    below = F.regexp_replace(F.col("path"), "^.*?" + re.escape(top) + "/", "") if top else F.col("path")
+    if not options.hidden:
+        files = files.where(~below.rlike(r"(?:^|/)\.[^/]"))
+    for regex in filter(None, map(ignore_regex, patterns)):
+        files = files.where(~below.rlike(regex))
+    return files
+
+
+def walk(spark: SparkSession, root: str, registry: Registry | None = None, options: WalkOptions = WalkOptions()) -> DataFrame:
+    """All items of the files under ``root``."""
+    return parse(listed(spark, root, options), registry or default_registry(), options.sniff)
 
 
 def records(items: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factweave import models
 from factweave.plans.engine import Engine
 from factweave.sources import files
+from factweave.sources.store import StaleVersion
 from factweave.streaming.ingest import ingest_stream
 
 
@@ -30,6 +32,13 @@ def test_sources(spark, folder):
     assert files.sections(items).first()["text"].endswith("review. �")
     fields = {r["fields"]["id"]: r["fields"]["v"] for r in files.records(items).where("schema = 'lines'").collect()}
     assert fields == {'"L1"': "1.50", '"L2"': '{"a":2,"b":1}'}
+    (folder / ".ignore").write_text("# no\n*.csv\n")
+    (folder / ".hidden").mkdir()
+    (folder / ".hidden" / "h.txt").write_text("h")
+    names = {r["path"].rsplit("/", 1)[1] for r in files.listed(spark, str(folder)).select("path").collect()}
+    assert names == {"employees.json", "notes.txt", "lines.jsonl", "bad.json"}
+    assert files.listed(spark, str(folder), files.WalkOptions(glob="*.csv", ignore_files=False, ignore=("/ragged*",))).count() == 1
+    (folder / ".ignore").unlink()
     table = files.read_table(spark, str(folder / "tickets.csv")).collect()
     assert table[0]["body"] == ""
 
@@ -56,6 +65,15 @@ def test_ingest_to_answers(spark, folder, tmp_path):
     shown = e.show("emp_0")
     assert shown["label"] and shown["type"] == "employees" and ("ref:employees", "T-1") in shown["incoming"]
 
+    assert e.list_entities("employees", "P_1") == {"total": 1, "ids": ["emp_1"]} and e.list_entities("employees", limit=2) == {"total": 3, "ids": ["emp_0", "emp_1"]}
+    assert '"object": "Ravi Kumar"' in e.shown("emp_0", "json") and "Ravi Kumar  [json@1.00]" in e.shown("emp_0") and "## Referenced by" in e.shown("emp_0", "md")
+    assert {f["target_label"] for f in e.show("T-1")["facts"] if f["predicate"] == "ref:employees"} == {"Ravi Kumar", "Ana Lopez"}
+    asked = []
+    chat = models.FakeChat(lambda s, u: asked.append(u) or "# page")
+    assert e.page(chat, "employees", "emp_0", str(tmp_path / "gen")) == "# page" == e.page(chat, "employees", "emp_0", str(tmp_path / "gen")) and len(asked) == 1
+    assert "### tickets/T-1" in asked[0] and "`name` = \"Ravi Kumar\" [adapter=json conf=1.00]" in asked[0]
+    assert e.generate_pages(models.FakeChat(lambda s, u: "# p"), str(tmp_path / "gen")) == {"ok": 6, "failed": 0}
+    assert e.generate_pages(models.FakeChat(lambda s, u: ""), str(tmp_path / "gen"), "tickets", 1, 0, force=True) == {"ok": 0, "failed": 1}
     assert e.embed(models.HashEmbeddings(), "m") == 7 and e.embed(models.HashEmbeddings(), "m") == 0
     done = e.build(str(tmp_path / "md"))
     assert done == {"written": 7, "unchanged": 0}
@@ -63,10 +81,37 @@ def test_ingest_to_answers(spark, folder, tmp_path):
     page.write_text(page.read_text().replace("<!-- manual:start -->\n", "<!-- manual:start -->\nmine"))
     assert e.build(str(tmp_path / "md")) == {"written": 0, "unchanged": 7} and "mine" in page.read_text()
 
+    sections = spark.createDataFrame([("s1", "employees emp_1 Ana Lopez"), ("s2", "employees emp_1 Ana Lopez"), ("s3", None)], "section string, text string")
+    near = e.nearest_entities(sections, models.HashEmbeddings(), "m", 2).collect()
+    assert {r["section"] for r in near} == {"s1", "s2"} and len(near) == 4
+    vecs = {r["entity_id"]: np.array(r["embedding"]) for r in e.store.table("entity_embeddings").collect()}
+    q = np.array(models.HashEmbeddings().embed(["employees emp_1 Ana Lopez"])[0])
+    best = max(vecs, key=lambda i: (round(float(vecs[i] @ q / np.linalg.norm(vecs[i]) / np.linalg.norm(q)), 6), i))
+    assert {r["entity_id"] for r in near if r["rank"] == 1} == {best}
+    assert e.store.table("section_embeddings").count() == 1
+    version = e.store.version()
+    assert e.embed_sections(sections, models.HashEmbeddings(), "m").count() == 2 and e.store.version() == version
+    assert e.graph() is e.graph()
+    e.clear_reconciled()
+    assert e.reconcile_refs() == 5
+    e.clear_aliases()
+    assert e.store.table("entity_aliases").count() == 0
+
     # a changed file replaces what came from it
     (folder / "lines.jsonl").write_text('{"id": "L1", "v": 2}\n')
     e.ingest(str(folder), 300)
     assert [r["object_json"] for r in e.store.table("facts").where("subject LIKE 'L%'").collect()] == ["2"]
+    ids = e.store.table("facts").selectExpr("count(*)", "count(DISTINCT id)").first()
+    assert ids[0] == ids[1] and e.store.table("documents").where("id IS NULL").count() == 0
+
+
+class Counting:
+    def __init__(self, answer):
+        self.answer, self.usage = answer, {"calls": 0}
+
+    def chat(self, system, user):
+        self.usage["calls"] += 1
+        return self.answer
 
 
 def test_conflicts_and_review(spark, tmp_path):
@@ -90,7 +135,12 @@ def test_conflicts_and_review(spark, tmp_path):
     sections = spark.createDataFrame([("s1", "b", "Ask Big A about it"), ("s2", "b", "nobody")], "section string, parent_subject string, text string")
     e.approve("a", "Big A")
     answer = '{"refs": [{"entity_id": "a", "evidence_span": "big a", "confidence": 0.95}, {"entity_id": "a", "evidence_span": "made up", "confidence": 1}], "facts": [{"subject": "b", "predicate": "asks", "object": "a"}]}'
-    assert e.extract(sections, models.FakeChat(lambda s, u: answer)) == 2
+    def failing(s, u):
+        raise OSError("down")
+
+    assert e.extract(sections, models.FakeChat(failing)) == 0
+    assert e.store.table("section_cache").count() == 1  # the one that had no candidates
+    assert e.extract(sections, Counting(answer), lots=2, concurrency=2) == 2 and e.usage == {"calls": 1}
     assert e.extract(sections, models.FakeChat(lambda s, u: answer)) == 0
     e.reject("b", "ref:people", "a", "Big A")
     assert e.store.table("facts").where("adapter = 'llm-resolve'").first()["confidence"] == 0
@@ -112,9 +162,17 @@ def test_only_one_writer_wins(spark, tmp_path):
     a, b = Engine(spark, str(tmp_path / "s")).store, Engine(spark, str(tmp_path / "s")).store
     one = spark.createDataFrame([("x", "t")], "id string, entity_type string")
     assert a.commit(entities=one) == 1
-    b.versions = lambda: []
-    with pytest.raises(Exception):
-        b.commit(entities=one)
+    with pytest.raises(StaleVersion):
+        b.commit(0, entities=one)  # the tables were read before a's commit
+    b.version = lambda: 0  # as if a had committed while b was writing
+    with pytest.raises(StaleVersion):
+        b.commit(0, entities=one)
+    two = spark.createDataFrame([("y", "t")], "id string, entity_type string")
+    assert a.commit(1, {"entities": two}) == 2
+    assert {r["id"] for r in a.table("entities").collect()} == {"x", "y"} and a.table("entities", 1).count() == 1
+    assert len(a.manifest()["entities"]) == 2 and a.manifest()["entities"][:1] == a.manifest(1)["entities"]
+    a.compact("entities")
+    assert len(a.manifest()["entities"]) == 1 and a.table("entities").count() == 2
     a.commit(entities=one.limit(0))
     a.vacuum()
     assert a.table("entities").count() == 0

@@ -1,10 +1,11 @@
 """Scalar functions and small operators by example."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from factweave import models
 from factweave.functions import text as fx
-from factweave.operators import aliases, conflicts, discovery, dml, extraction, graph, vectors, views
+from factweave.operators import aliases, conflicts, discovery, dml, extraction, graph, pages, vectors, views
 from factweave.sources import files
 
 
@@ -119,7 +120,51 @@ def test_clients():
     v = models.HashEmbeddings(8).embed(["a b", "a b", ""])
     assert v[0] == v[1] and v[2] == [0.0] * 8
     c = models.ModelConfig.load(None, {"FACTWEAVE_MODEL": "m"})
-    assert (c.model, c.provider) == ("m", "openai")
+    assert (c.model, c.provider, c.base_url, c.concurrency) == ("m", "lmstudio", "http://127.0.0.1:1234/v1", 4) and c.key()
+    c = models.ModelConfig.load(None, {"FACTWEAVE_PROVIDER": "gemini", "GEMINI_API_KEY": "k", "FACTWEAVE_RETRIES": "2"})
+    assert (c.key(), c.retries) == ("k", 2) and c.base_url.endswith("v1beta")
+    assert models.ModelConfig.load(None, {"FACTWEAVE_PROVIDER": "gemini", "GEMINI_API_KEY": "k", "FACTWEAVE_API_KEY": "own"}).key() == "own"
+    with pytest.raises(ValueError):
+        models.ModelConfig.load(None, {"FACTWEAVE_PROVIDER": "openai"}).key()
+
+
+def test_ignore_patterns():
+    import re
+
+    hit = lambda p, path: bool(re.search(files.ignore_regex(p), path))
+    assert hit("*.log", "a/b.log") and not hit("*.log", "a/b.log2") and hit("/top", "top/x") and not hit("/top", "a/top")
+    assert hit("build/", "x/build/y") and hit("a/**/z", "a/b/c/z") and hit("a/**/z", "a/z") and not hit("a/*/z", "a/b/c/z")
+    assert files.ignore_regex("# no") is None is files.ignore_regex("") is files.ignore_regex("!x")
+
+
+def test_line_separators_inside_json():
+    text = '{"id": "a\u2028b"}\r\n\n{"id": "c\x85"}\n'
+    assert [r["id"] for _, r in files.read_json(text.encode(), "x.jsonl")] == ["a\u2028b", "c\x85"]
+
+
+def test_numbers_are_dense_written_and_kept(spark, tmp_path):
+    new = spark.range(1_200_000).select(F.format_string("s%03d", F.col("id") % 997).alias("subject"), (F.col("id") * 7919 % 1_200_000).alias("x"))
+    got = dml.number_on(new, ["subject", "x"], 5)
+    got.write.parquet(str(tmp_path / "n"))
+    for df in (spark.read.parquet(str(tmp_path / "n")), got.persist()):
+        assert tuple(df.selectExpr("count(*)", "count(id)", "count(DISTINCT id)", "min(id)", "max(id)").first()) == (1_200_000, 1_200_000, 1_200_000, 6, 1_200_005)
+    a, b = got.orderBy("id").select("subject", "x").limit(2000).collect(), got.orderBy("subject", "x").select("subject", "x").limit(2000).collect()
+    assert a == b
+    got.unpersist()
+
+
+def test_first_type_wins(spark):
+    old = spark.createDataFrame([("a", "t0")], "id string, entity_type string")
+    new = spark.createDataFrame([("a", "t1", 1), ("b", "t2", 5), ("b", "t3", 2), ("b", "t1", 9)], "id string, entity_type string, seq int")
+    assert sorted(map(tuple, dml.insert_new(old, new, ["id"], "seq").collect())) == [("a", "t0"), ("b", "t3")]
+
+
+def test_type_ranks():
+    counts = [("logs", 90), ("people", 3), ("orders", 40)]
+    assert pages.rank_types(counts, models.FakeChat(lambda s, u: '```json\n{"order": ["people", "nope", "people"]}\n```')) == ["people", "logs", "orders"]
+    for bad in ("no", '{"order": "people"}', "[]"):
+        assert pages.rank_types(counts, models.FakeChat(lambda s, u, bad=bad: bad)) == ["logs", "orders", "people"]
+    assert all(0.8 * 2**k <= pages.wait("x", k) <= 1.2 * 2**k for k in range(6)) and pages.wait("x", 99) <= 72 and pages.wait("x", 1) == pages.wait("x", 1)
 
 
 def test_adapters():
