@@ -92,21 +92,62 @@ def test_best_fit_takes_the_tightest_window():
     assert sum(left) / (1024 * len(left)) < 0.01
 
 
+def brute_topk(vecs, k=20, every=20):
+    """{query: [(score, id)]} in whole numbers."""
+    x = {i: [int(np.floor(64 * np.float64(c))) if abs(64 * float(c)) < 2**53 else int(64 * float(c)) for c in v] for i, v in vecs}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    out = {}
+    for q in x:
+        if q % every == 0:
+            s = sorted((-clip(sum(a * b for a, b in zip(x[q], x[i]))), i) for i in x if i != q)[:k]
+            out[q] = [(-a, i) for a, i in s]
+    return out
+
+
+def found_topk(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        assert r["rank"] == len(out.setdefault(r["query_id"], [])) + 1
+        out[r["query_id"]].append((r["score"], r["vec_id"]))
+    return out
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(2)
     vecs = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(300)]
     vecs[7] = (7, vecs[8][1])
     bad = [(1000, None), (1020, [float("nan")] * 16), (1040, [1.0, None] + [0.0] * 14), (1060, [float("inf")] + [0.0] * 15), (None, vecs[1][1])]
     df = spark.createDataFrame([(*v, 0) for v in vecs + bad], "vec_id long, embedding array<float>, rank int")
-    x = np.floor(64 * np.array([v for _, v in vecs], dtype=np.float64)).astype(np.int64)
-    got = {}
-    for r in topk.exact_topk(df, tile=64, query_tile=4).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    for q in range(0, 300, 20):
-        s = x @ x[q]
-        want = sorted(((-int(s[i]), i) for i in range(300) if i != q))[:20]
-        assert got.pop(q) == {k: (i, -v) for k, (v, i) in enumerate(want, 1)}
-    assert not got
+    assert found_topk(topk.exact_topk(df, tile=64, query_tile=4).collect()) == brute_topk(vecs)
     few = spark.createDataFrame(vecs[:5], "vec_id long, embedding array<float>")
     assert topk.exact_topk(few).count() == 4
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_exact_search_of_huge_components(spark):
+    rng = np.random.default_rng(4)
+    vecs = [(i, [float(np.float32(c)) for c in rng.normal(size=4) * 10.0 ** rng.integers(0, 38)]) for i in range(60)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    assert found_topk(topk.exact_topk(df, tile=16).collect()) == brute_topk(vecs)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "spread"])
+def test_pivots_eliminate(kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64)) * 8
+    if kind == "clusters":
+        x += (rng.normal(size=(200, 64)) * 64)[rng.integers(0, 200, len(x))]
+    x, ids = np.floor(x), np.arange(len(x))
+    pivots = topk.Pivots.of(x[:2048], 256)
+    q, i, score, evaluated = topk.search_tile(x[:200], ids[:200], topk.Tile(x, ids, pivots), 20)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :20]
+    assert (i.reshape(200, 20) == want).all() and (score.reshape(200, 20) == np.take_along_axis(s, want, 1)).all()
+    assert evaluated < {"clusters": 0.15, "spread": 0.25}[kind] * 200 * len(x)
+    # the bound of the pivots together is no looser than the best single one's
+    a, b = pivots.place(x[:50]), pivots.place(x[50:100])
+    joint = np.sqrt(((a - b) ** 2).sum(1))
+    m = pivots.basis.shape[1]
+    gaps = np.abs(pivots.table(x[:50])[:, :m] - pivots.table(x[50:100])[:, :m]).max(1)
+    assert (joint >= gaps - 1e-3).all() and (joint <= np.sqrt(((x[:50] - x[50:100]) ** 2).sum(1)) + 1e-6).all()
