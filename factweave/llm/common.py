@@ -4,13 +4,14 @@ checkpointing in the shared folder, and distributed connected components."""
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,22 +24,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-    Only where a session names none, as in tests, a temporary one is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        current = sc.getCheckpointDir()
-        if current is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
-            current = sc.getCheckpointDir()
-        return current
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished plans now, not at
     the driver's next own collection: they are dead once a plan has been cut."""
@@ -58,14 +43,75 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table: smaller for wide tables."""
+    """As ``cut``, as a Parquet table: smaller for wide tables. It stays until
+    ``discard``, since what was made of it may not have been computed yet."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     release(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever Spark keeps it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove the tables of ``stored``: for callers that have written all results."""
+    while _STORED:
+        remove(spark, _STORED.pop())
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each changed until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def lots(texts: list, rows: int = 1_000, chars: int = 4_000_000):
+    """(start, stop) of runs of ``texts`` of so many rows and characters at most;
+    a longer text is a run of its own."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t is not None else 0
+        if i > start and (i - start >= rows or held + n > chars):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, one row for each key, whose ``count`` says
+    how many of the ``total`` rows have that key (it isn't returned).
+
+    Keys of more than a quarter of an average task's rows would fill a task: there
+    are at most four times as many of them as tasks, so they are broadcast and
+    their rows stay where they are; all other rows are dealt by key."""
+    spark = rows.sparkSession
+    most = max(1_000, total // (4 * partitions(spark)))
+    hot = groups.where(F.col(count) > most).drop(count)
+    cold = groups.where(F.col(count) <= most).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(cold, keys)
+    few = F.broadcast(hot)  # bounded by the number of tasks
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
 # Possessive forms of the agreed patterns: they match the same spans, since what
 # follows each repetition is outside its class. The guards skip starts inside a
@@ -17,38 +17,66 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: The method's additions: checked by mod-97 or proposed weakly and decided by context.
+#: The method's additions: confirmed by a checksum or their form, or proposed weakly and decided by context.
 MORE = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+()A-Za-z-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "short_card": r"(?<![0-9.+-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9-])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,250}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])",
+    "pem": r"-----BEGIN\x20(?:[A-Z]{2,12}\x20){0,3}PRIVATE\x20KEY-----",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret)\x20{0,3}[:=]\x20{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,256}+={0,2}+[\"']?",
 }
 #: What a span starts with, by kind, before context is looked at.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "local_phone": 0.3}
+PRIOR = {
+    "email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "local_phone": 0.3, "short_card": 0.3, "ssn": 0.6, "ipv6": 0.7, "key": 0.9, "pem": 0.9, "secret": 0.7,
+}
 #: Words that raise a span's score when they stand shortly before it.
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|pay",
     "phone": "phone|call|tel|mobile|fax", "iban": "iban|account|bank|transfer", "local_phone": "phone|call|tel|mobile|fax",
+    "short_card": "card|amex|credit|pay", "ssn": "ssn|social|security|tax", "ipv6": "ip|address|host|server", "key": "key|aws|access|credential",
+    "pem": "key|private|certificate", "secret": "login|user|credential|auth|config",
 }
+#: A text without this can hold none of the kind; all others need a digit.
+NEEDS = {"email": "@", "phone": "+", "ipv6": ":", "pem": "-----BEGIN"}
 NEAR, RAISE, LEAST = 40, 0.3, 0.5
 
 
+_PLACED = "array<struct<start:int,end:int,m:string>>"
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, m>> in code points of all leftmost matches: the
-    pieces that split() leaves between the matches give their offsets."""
+    pieces that split() leaves between the matches give their offsets.
+
+    Offsets are running sums. They are taken over blocks of about the root of the
+    number of matches, since an array that grows by one is copied each time: n
+    matches cost n times the root of n, not n squared."""
     pieces = F.split(text, pattern, -1)
-    sized = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m, i: F.struct(m.alias("m"), F.length(m).alias("len"), i.alias("i")),
-    )
+    sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), F.length(m).alias("len")))
     sized = F.zip_with(sized, F.transform(pieces, lambda p: F.length(p)), lambda a, gap: F.struct(a["m"].alias("m"), a["len"].alias("len"), gap.alias("gap")))
     # zip_with pads: the piece after the last match has no match of its own
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start:int,end:int,m:string>>)").alias("out"))
+    sized = F.filter(sized, lambda x: x["m"].isNotNull())
 
     def step(acc, x):
         s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(F.filter(sized, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    def place(xs: Column, at: Column) -> Column:
+        return F.aggregate(xs, F.struct(at.alias("at"), F.expr(f"cast(array() AS {_PLACED})").alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        n = F.size(xs)
+        k = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / k).cast("int"), F.lit(0))), lambda c: F.slice(xs, c * k + 1, k))
+        total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
+        starts = F.aggregate(cut, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + total(b))))
+        return F.flatten(F.filter(F.zip_with(cut, starts, lambda b, at: F.when(b.isNotNull(), place(b, at))), lambda x: x.isNotNull()))
+
+    # One element for the whole list: what it is made of is computed once.
+    return F.element_at(F.transform(F.array(sized), blocks), 1)
 
 
 def _digits(m: Column) -> Column:
@@ -82,6 +110,12 @@ def _valid(kind: str, m: Column) -> Column:
         return n.between(16, 19) & luhn(_digits(m))
     if kind == "phone":
         return n.between(8, 15)
+    if kind == "short_card":
+        return n.between(13, 15) & luhn(_digits(m))
+    if kind == "ssn":  # numbers that are never given out
+        return ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$")
+    if kind == "secret":  # a value with a digit, not a word of prose
+        return F.regexp_extract(m, "[:=](.*)$", 1).rlike("[0-9]")
     if kind == "iban":
         code = F.replace(m, F.lit(" "))
         return F.length(code).between(15, 34) & mod97(code)
@@ -111,22 +145,25 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     A span's score is its kind's prior, raised by RAISE when one of the kind's
     context words stands within NEAR code points before it. Base kinds are kept
     whatever their score once valid; added kinds need LEAST and must not overlap
-    a base span. A null or empty text has no spans; all rows and columns of the
-    input are kept (a column named pii is replaced).
+    a base span. A null or empty text has no spans; repeated rows are looked at
+    one by one; an empty table gives no rows; all rows and columns of the input
+    are kept, but for a column named pii, which is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    kinds = [*PATTERNS, *MORE]
+    name = dict(zip(["", *kinds], spare(docs, "pii_base", *[f"pii_{k}" for k in kinds]), strict=True))
     out = docs
     # One column each: higher-order functions over them aren't computed twice.
     for kind, pattern in [*PATTERNS.items(), *MORE.items()]:
-        need = {"email": F.instr(t, "@") > 0, "phone": F.instr(t, "+") > 0}.get(kind, t.rlike("[0-9]"))
-        out = out.withColumn(f"_pii_{kind}", F.when(need, _scored(t, kind, pattern)).otherwise(F.expr(_NONE)))
-    base = F.concat(*[F.col(f"_pii_{k}") for k in PATTERNS])
-    out = out.withColumn("_pii_base", base)
+        need = F.instr(t, NEEDS[kind]) > 0 if kind in NEEDS else t.rlike("[0-9]")
+        out = out.withColumn(name[kind], F.when(need, _scored(t, kind, pattern)).otherwise(F.expr(_NONE)))
+    out = out.withColumn(name[""], F.concat(*[F.col(name[k]) for k in PATTERNS]))
+    base = F.col(name[""])
     more = F.filter(
-        F.concat(*[F.col(f"_pii_{k}") for k in MORE]),
-        lambda s: (s["score"] >= LEAST) & ~F.exists(F.col("_pii_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        F.concat(*[F.col(name[k]) for k in MORE]),
+        lambda s: (s["score"] >= LEAST) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    return out.withColumn("pii", F.concat("_pii_base", more)).drop("_pii_base", *[f"_pii_{k}" for k in [*PATTERNS, *MORE]])
+    return out.withColumn("pii", F.concat(base, more)).drop(*name.values())
 
 
 def _joined(spans: Column) -> Column:
@@ -134,7 +171,9 @@ def _joined(spans: Column) -> Column:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans, their digest, all spans as text, and n_pii, how many
+    there are of all kinds; one row for each row of documents, null texts too."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*PATTERNS))
     n = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[n(k) for k in PATTERNS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[n(k) for k in PATTERNS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_pii"))

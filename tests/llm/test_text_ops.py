@@ -38,8 +38,8 @@ def test_decontamination(spark):
     items = [(1, rows[0][1]), (2, "Tiny"), (3, None), (4, "..."), (5, " ".join(p)[:300].upper()), (10, rows[0][1]), (6, "é ü ascii")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = overlap([(d, t) for d, t, _ in rows], items)
-    for most in (decontaminate.MAX_LITERAL, 3):
-        got = decontaminate.decontaminate(frame(spark, rows), bench, max_literal=most).collect()
+    for block in (decontaminate.BLOCK, 12_000):  # one block of the hash set, and several
+        got = decontaminate.decontaminate(frame(spark, rows), bench, block=block).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got), key=str) == want
     bad = {x[0] for x in want if x[4]}
     kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
