@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, join_hot, spare, stored, table
 
 NO_ID = -(2**63)
 #: Lines with fewer words have no near ones: one edit would be more than a fifth of them.
@@ -48,50 +48,49 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool =
     halves = F.when(F.col("n") >= min_words, F.expr(_HALVES))
     seen = stored(split.select("dk", "th", "ln", F.xxhash64("w").alias("a"), F.xxhash64(F.lit("b"), "w").alias("b"), halves.alias("halves")))
 
-    # Distinct lines with their first place; copies are combined before the shuffle.
-    first = seen.groupBy("a", "b").agg(F.min(F.struct("dk", "th", "ln")).alias("f"))
+    # Distinct lines with their first place, which names them from here on; copies
+    # are combined before the shuffle.
+    first = cut(seen.groupBy("a", "b").agg(F.min(F.struct("dk", "th", "ln")).alias("f"), F.count("*").alias("c")))
     # One edit leaves a line's front or its end as it was: lines that share
     # neither with an unlike line have no near one and emit nothing.
     half = seen.select("a", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("half")
     # Each step is cut, so that its shuffles can go before the next one's are written.
-    may = cut(half.join(shared, "half", "left_semi").select("a").distinct())
+    may = cut(half.distinct().join(shared, "half", "left_semi").select("a").distinct())
     open_ = first.join(may, "a", "left_semi")
 
-    wanted = open_.select("f.dk", "f.th", "f.ln", "a", "b").groupBy("dk", "th").agg(F.collect_list(F.struct("ln", "a", "b")).alias("want"))
+    wanted = open_.select("f.dk", "f.th", "f.ln").groupBy("dk", "th").agg(F.collect_list("ln").alias("want"))
     got = base.join(wanted, ["dk", "th"]).select("dk", "th", _lines(F.col("text")).alias("ls"), "want")
-    pick = F.transform("want", lambda x: F.struct(x["ln"].alias("ln"), x["a"].alias("a"), x["b"].alias("b"), F.element_at(F.col("ls"), x["ln"] + 1).alias("line")))
-    got = got.select("dk", "th", F.explode(F.array_distinct(pick)).alias("x"))
-    lines = got.select(F.struct("dk", "th", F.col("x.ln").alias("ln")).alias("f"), "x.a", "x.b", _words(F.col("x.line")).alias("w")).dropDuplicates(["a", "b"])
+    pick = F.transform("want", lambda ln: F.struct(ln.alias("ln"), F.element_at(F.col("ls"), ln + 1).alias("line")))
+    got = got.select("dk", "th", F.explode(pick).alias("x"))
+    lines = got.select(F.struct("dk", "th", F.col("x.ln").alias("ln")).alias("f"), _words(F.col("x.line")).alias("w")).dropDuplicates(["f"])
     lines = cut(lines.withColumn("n", F.size("w")))
 
-    hashed = lines.select(
-        "a", "b", "f", "n", F.expr(f"transform(w, (x, i) -> xxhash64(x, i) & {_M})").alias("p"), F.expr(f"transform(w, x -> xxhash64(x) & {_M})").alias("g"),
-        F.expr("transform(w, (x, i) -> i = 0 OR w[i - 1] <> x)").alias("new"),
-    ).select(
-        "a", "b", "f", "n", "p", "g", "new", F.expr("aggregate(p, 0L, (s, x) -> s + x)").alias("sp"), F.expr("aggregate(g, 0L, (s, x) -> s + x)").alias("sg")
-    )
-    # A word replaced: the same place left out, all else in place.
-    replaced = hashed.select("a", "b", "f", F.explode(F.expr("transform(p, (x, i) -> xxhash64(n, i, sp - x))")).alias("key"))
-    least = replaced.groupBy("key").agg(F.min(F.struct("f", "a", "b")).alias("e"), F.count("*").alias("c")).where("c > 1").select("key", "e")
-    pairs = cut(replaced.join(least, "key").where("f > e.f").select("a", "b", F.col("e.a").alias("ea"), F.col("e.b").alias("eb")).distinct())
+    # A word replaced: all words with their places but one, as two sums without
+    # carry, 128 bits in all. Under such a key all lines are near one another.
+    placed = lines.select(
+        "f", "n", F.expr("transform(w, (x, i) -> struct(xxhash64(x, i) AS u, xxhash64('b', x, i) AS v))").alias("p"),
+    ).select("f", "n", "p", F.expr("aggregate(p, 0L, (s, x) -> s ^ x.u)").alias("u"), F.expr("aggregate(p, 0L, (s, x) -> s ^ x.v)").alias("v"))
+    replaced = placed.select("f", F.explode(F.expr("transform(p, (x, i) -> struct(xxhash64(n, i, u ^ x.u) AS u, xxhash64(i, n, v ^ x.v) AS v))")).alias("key")).select("f", "key.u", "key.v")
+    least = replaced.groupBy("u", "v").agg(F.min("f").alias("e"), F.count("*").alias("c")).where("c > 1")
+    total = replaced.count()
+    pairs = cut(join_hot(replaced, least, ["u", "v"], "c", total).where("f > e").select("f", "e").distinct())
     # A word deleted: the other words' sum is that of a whole line one word shorter.
-    longer = hashed.select("a", "b", "f", F.explode(F.expr("filter(transform(g, (x, i) -> if(new[i], xxhash64(n - 1, sg - x), NULL)), x -> x IS NOT NULL)")).alias("key"))
-    whole = hashed.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("f").alias("wf"), F.xxhash64("n", "sg").alias("key"))
-    both = longer.join(whole, "key")
-    later = F.col("f") > F.col("wf")
-    pairs = pairs.union(cut(both.select(
-        F.when(later, F.col("a")).otherwise(F.col("wa")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("wb")).alias("b"),
-        F.when(later, F.col("wa")).otherwise(F.col("a")).alias("ea"), F.when(later, F.col("wb")).otherwise(F.col("b")).alias("eb"),
-    ).distinct()))
+    # Here nothing stands for the others, so unlike lines of one key lose no link.
+    summed = lines.select("f", "n", "w", F.expr(f"transform(w, x -> xxhash64(x) & {_M})").alias("g")).select("f", "n", "w", "g", F.expr("aggregate(g, 0L, (s, x) -> s + x)").alias("sg"))
+    longer = summed.select("f", F.explode(F.expr("filter(transform(g, (x, i) -> if(i = 0 OR w[i - 1] <> w[i], xxhash64(n - 1, sg - x), NULL)), x -> x IS NOT NULL)")).alias("key"))
+    whole = summed.select(F.col("f").alias("wf"), F.xxhash64("n", "sg").alias("key"))
+    pairs = pairs.union(cut(longer.join(whole, "key").select(F.greatest("f", "wf").alias("f"), F.least("f", "wf").alias("e")).distinct()))
     # Verify on the words. Two lines within one edit agree up to a place and, one
     # word on in one or both, after it.
-    early = lines.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("w").alias("ew"))
-    checked = pairs.join(lines.select("a", "b", "w"), ["a", "b"]).join(early, ["ea", "eb"])
-    near = cut(checked.where(within_one_edit("w", "ew")).select("a", "b").distinct())
-
-    state = first.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left")
-    gone = seen.select("a", "b", "dk", "th", "ln").join(state, ["a", "b"]).where(F.col("near") | (F.struct("dk", "th", "ln") != F.col("f")))
+    early = lines.select(F.col("f").alias("e"), F.col("w").alias("ew"))
+    times = pairs.groupBy("e").agg(F.count("*").alias("c"))
+    checked = join_hot(pairs, early.join(times, "e"), ["e"], "c", total).join(lines.select("f", "w"), "f")
+    near = cut(checked.where(within_one_edit("w", "ew")).select("f").distinct())
+
+    # Only lines that have copies or a near one can go.
+    state = first.join(near.withColumn("near", F.lit(True)), "f", "left").where("near OR c > 1")
+    gone = join_hot(seen.select("a", "b", "dk", "th", "ln"), state, ["a", "b"], "c", seen.count()).where(F.col("near") | (F.struct("dk", "th", "ln") != F.col("f")))
     return gone.groupBy("dk", "th").agg(F.collect_set("ln").alias("gone"))
 
 
@@ -118,25 +117,29 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool
     doc_id, then hash of the text, then line number). Lines are judged on the
     input, not on what is left, so the result doesn't depend on order of work.
     Shorter lines stay; with ``short_copies`` those of at least one word go if an
-    equal line stands earlier. A null text stays null; a text all of whose lines go
+    equal line stands earlier. A line that goes is judged by the input alone, so a
+    line may go for an earlier one that goes itself. A null text stays null; a text all of whose lines go
     becomes empty; a null doc_id counts as smaller than all; rows that repeat both
     doc_id and text are one document; an empty table gives no rows.
     """
     dropped = mark_lines(docs, min_words, short_copies)
     kept_cols = [c for c in docs.columns if c != "n_removed_lines"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(*kept_cols, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_dk"), F.xxhash64(text).alias("_th"))
-    d = dropped.select(F.col("dk").alias("_dk"), F.col("th").alias("_th"), F.map_from_arrays("gone", "gone").alias("_gone"), F.size("gone").alias("_n"))
-    out = keyed.join(d, ["_dk", "_th"], "left")
-    rest = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(F.col("_gone"), i)), "\n")
-    new = F.when(F.col("_n").isNull(), F.col("text")).otherwise(rest)
+    dk, th, gone, n = spare(docs, "dk", "th", "gone", "n")
+    keyed = docs.select(*kept_cols, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(dk), F.xxhash64(text).alias(th))
+    d = dropped.select(F.col("dk").alias(dk), F.col("th").alias(th), F.map_from_arrays("gone", "gone").alias(gone), F.size("gone").alias(n))
+    out = keyed.join(d, [dk, th], "left")
+    rest = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(F.col(gone), i)), "\n")
+    new = F.when(F.col(n).isNull(), F.col("text")).otherwise(rest)
     cols = {c: F.col(c) for c in kept_cols} | {"text": new}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("_n").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
-    return out.select(*[v.alias(c) for c, v in cols.items()], F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed_lines"))
+        cols["n_chars"] = F.when(F.col(n).isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))
+    return out.select(*[v.alias(c) for c, v in cols.items()], F.coalesce(n, F.lit(0)).cast("long").alias("n_removed_lines"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Removed lines, and length and digest of what is left, of each document. Equal
+    lines of any length of one word or more go, near ones from MIN_WORDS on."""
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_removed_lines", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))

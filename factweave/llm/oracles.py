@@ -3,14 +3,14 @@
 OP5_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\t\r\x0B\f]+'), lambda x: x <> '') AS ws FROM l),
-d AS (SELECT ws, len(ws) AS n, array_to_string(ws, ' ') AS whole, min({'d': doc_id, 'l': ln}) AS f FROM w WHERE len(ws) >= 5 GROUP BY ws),
-s AS (SELECT ws, n, f, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+d AS (SELECT ws, len(ws) AS n, array_to_string(ws, ' ') AS whole, min({'d': doc_id, 'l': ln}) AS f FROM w WHERE len(ws) >= 1 GROUP BY ws),
+s AS (SELECT ws, n, f, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)),
 low AS (SELECT v, n, i, min(f) AS f FROM s GROUP BY ALL),
 near AS (
   SELECT s.ws FROM s JOIN low USING (v, n, i) WHERE s.f > low.f
-  UNION SELECT s.ws FROM s JOIN d ON d.whole = s.v AND d.n = s.n - 1 WHERE s.f > d.f
-  UNION SELECT d.ws FROM s JOIN d ON d.whole = s.v AND d.n = s.n - 1 WHERE d.f > s.f),
-kept AS (SELECT w.doc_id, w.ln, w.line, len(w.ws) >= 5 AND (near.ws IS NOT NULL OR d.f <> {'d': w.doc_id, 'l': w.ln}) AS gone FROM w LEFT JOIN d ON d.ws = w.ws LEFT JOIN near ON near.ws = w.ws),
+  UNION SELECT s.ws FROM s JOIN d ON d.whole = s.v AND d.n = s.n - 1 AND d.n >= 5 WHERE s.f > d.f
+  UNION SELECT d.ws FROM s JOIN d ON d.whole = s.v AND d.n = s.n - 1 AND d.n >= 5 WHERE d.f > s.f),
+kept AS (SELECT w.doc_id, w.ln, w.line, len(w.ws) >= 1 AND (near.ws IS NOT NULL OR d.f <> {'d': w.doc_id, 'l': w.ln}) AS gone FROM w LEFT JOIN d ON d.ws = w.ws LEFT JOIN near ON near.ws = w.ws),
 t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed_lines, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone), '') AS kept FROM kept GROUP BY doc_id)
 SELECT doc_id, n_removed_lines, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM t
 """
