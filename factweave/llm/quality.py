@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lots, table
 from .crf import Crf, logistic, sigmoid, train
 from .training import fold, labelled_sample
 
@@ -96,8 +96,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for a in range(0, len(p), 1000):
-                q = p.iloc[a : a + 1000]
+            for a, z in lots(p["text"].tolist()):
+                q = p.iloc[a:z]
                 yield pd.DataFrame({"doc_id": q["doc_id"], "score": model.score(q["text"].tolist())})
 
     out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, score double")
@@ -105,6 +105,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document; held_out is false for a null doc_id."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(

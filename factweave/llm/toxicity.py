@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lots, spare, table
 from .crf import Crf, logistic, sigmoid, train
 from .training import fold, labelled_sample
 
@@ -29,6 +29,46 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+# Signs that stand for letters in disguised words.
+_SIGNS = str.maketrans("01345789", "oieastbg")
+#: What an unseen token that looks like a candidate is worth of its log-odds.
+ALIKE = 0.75
+
+
+def folded(token: str) -> str:
+    """Letters for signs, and runs of a letter as one: how disguised forms of a
+    word agree."""
+    return _RUN.sub(r"\1", token.translate(_SIGNS))
+
+
+_RUN = re.compile(r"(.)\1+")
+
+
+class Odds:
+    """Log-odds by token. A token that training never saw counts as the candidate
+    whose folded form it shares, at ALIKE; all else is 0. What has been looked up
+    is remembered, up to a bound."""
+
+    def __init__(self, known: dict[str, float], seen: frozenset[str], most: int = 200_000):
+        self.known, self.seen, self.most, self.memo = known, seen, most, {}
+        self.alike: dict[str, float] = {}
+        for t, v in known.items():
+            k = folded(t)
+            if len(k) >= 4:
+                self.alike[k] = max(self.alike.get(k, 0.0), ALIKE * v)
+
+    def __call__(self, token: str) -> float:
+        v = self.memo.get(token)
+        if v is None:
+            v = self.known.get(token, 0.0)
+            if not v and len(token) < 40 and token not in self.seen:
+                v = self.alike.get(folded(token), 0.0)
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            self.memo[token] = v
+        return v
+
+
 class Words:
     """Numbers for tokens: a text is held as an array, not as strings."""
 
@@ -75,12 +115,12 @@ def _features(own: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return x
 
 
-def _chains(texts: list[str | None], odds: dict[str, float]):
+def _chains(texts: list[str | None], odds: Odds):
     """Features of texts, and their lengths; an empty text is one line end."""
     words = [tokens(t) or ["\n"] for t in texts]
     lengths = np.array([len(w) for w in words])
     n = int(lengths.sum())
-    own = np.fromiter((odds.get(t, 0.0) for w in words for t in w), dtype=np.float64, count=n)
+    own = np.fromiter((odds(t) for w in words for t in w), dtype=np.float64, count=n)
     end = np.fromiter((t == "\n" for w in words for t in w), dtype=np.float64, count=n)
     return _features(own, end, lengths), lengths
 
@@ -104,15 +144,18 @@ class ToxicityModel:
         y = np.array([v for _, v in sample])
         self.base = float(y.mean()) if len(y) else 0.5
         self.crf: Crf | None = None
-        self.odds: dict[str, float] = {}
+        self.odds = Odds({}, frozenset())
         if not len(y) or not 0 < self.base < 1:
             return
         words = Words()
         ids = [words(t) for t, _ in sample]
         odds = candidates(ids, y, len(words.ids))
-        self.odds = {t: float(odds[i]) for t, i in words.ids.items() if odds[i] > 0}
+        known = {t: float(odds[i]) for t, i in words.ids.items() if odds[i] > 0}
+        # of the tokens seen only those matter that look like a candidate
+        like = {folded(t) for t in known}
+        self.odds = Odds(known, frozenset(t for t in words.ids if t not in known and folded(t) in like))
         del words
-        if not self.odds:
+        if not known:
             return
         # Toxic texts first, then others, whole, up to CHAINS.
         order, toxic = np.argsort(y == 0, kind="stable"), int((y > 0).sum())
@@ -143,11 +186,12 @@ class ToxicityModel:
             return np.full(len(texts), self.base)
         return self.tag(texts)[2]
 
-    def spans(self, texts: list[str | None], least: float = 0.5) -> list[list[dict]]:
-        """Offending code-point ranges (end exclusive), runs of toxic tokens merged."""
+    def rate(self, texts: list[str | None], least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores, and offending code-point ranges (end exclusive), runs of toxic
+        tokens merged."""
         if self.crf is None or not texts:
-            return [[] for _ in texts]
-        p, lengths, _ = self.tag(texts)
+            return np.full(len(texts), self.base), [[] for _ in texts]
+        p, lengths, scores = self.tag(texts)
         out, at = [], 0
         for text, n in zip(texts, lengths.tolist(), strict=True):
             hit = np.flatnonzero(p[at : at + n] >= least).tolist()
@@ -168,7 +212,7 @@ class ToxicityModel:
                         found.append({"start": places[i][0], "end": places[i][1]})
                     last = i
             out.append(found)
-        return out
+        return scores, out
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicityModel:
@@ -190,19 +234,24 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False) -> DataFra
     def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for p in parts:
             got = []
-            for a in range(0, len(p), 1000):
-                t = p.iloc[a : a + 1000].tolist()
-                got.append(pd.DataFrame({"score": model.score(t), "spans": model.spans(t) if spans else [None] * len(t)}))
+            for a, z in lots(p.tolist()):
+                t = p.iloc[a:z].tolist()
+                both = model.rate(t) if spans else (model.score(t), [None] * len(t))
+                got.append(pd.DataFrame(dict(zip(("score", "spans"), both, strict=True))))
             yield pd.concat(got, ignore_index=True) if got else pd.DataFrame({"score": pd.Series(dtype=float), "spans": pd.Series(dtype=object)})
 
-    out = kept.withColumn("_rated", rate(F.col("text").cast("string"))).withColumn("toxicity", F.col("_rated.score"))
-    return (out.withColumn("toxic_spans", F.col("_rated.spans")) if spans else out).drop("_rated")
+    rated = spare(kept, "rated")[0]
+    out = kept.withColumn(rated, rate(F.col("text").cast("string"))).withColumn("toxicity", F.col(f"{rated}.score"))
+    return (out.withColumn("toxic_spans", F.col(f"{rated}.spans")) if spans else out).drop(rated)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, and its offending offsets as start:end in code
+    points, comma-joined; held_out is false for a null doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select(
+    offsets = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return score(docs, model, spans=True).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), offsets.alias("toxic_spans"),
     )

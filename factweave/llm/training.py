@@ -6,17 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters that a sample may hold, and how much longer than the mean of a full
+#: sample one text may be.
+CHARS, SPREAD = 60_000_000, 10
+
+
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; null ids are in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int, chars: int = CHARS) -> list[tuple[str, int]]:
     """At most ``rows`` (text, label) pairs outside the held-out fold, by hash of
-    the id. Only these texts come to the driver. Null labels and ids are no
-    examples; an id labelled twice counts once, with the smaller label."""
+    the id, of ``chars`` characters together at most: texts of more than its
+    ``rows``-th part times SPREAD are no examples, and the sample ends where the
+    sum is reached. Only these texts come to the driver. Null labels and ids are
+    no examples; an id labelled twice counts once, with the smaller label."""
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), of) != held_out)).groupBy("doc_id").agg(F.min(label).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "y").collect()
+    short = F.length(F.coalesce("text", F.lit(""))) <= max(1, SPREAD * chars // max(1, rows))
+    got, held = [], 0
+    for r in docs.select("doc_id", "text").where(short).join(picked, "doc_id").select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+        held += len(r["text"] or "")
+        if held > chars:
+            break
+        got.append(r)
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [(r["text"] or "", int(r["y"])) for r in got]

@@ -122,3 +122,22 @@ def test_pipeline_without_a_toxicity_model(spark, tmp_path):
         spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
         got = corpus_pipeline.drop_toxic(spark, docs, d)
         assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_unseen_forms_of_toxic_tokens():
+    rows = _labelled(random.Random(5), 400)
+    m = toxicity.ToxicityModel([(t, x) for _, t, _, x in rows])
+    clean = next(t for _, t, _, x in rows if not x)
+    plain, hidden, other = (clean + f"\nyou are {w} and {v} indeed" for w, v in (("moronic", "vile"), ("m0ronic", "sccummmy"), ("bucolic", "tile")))
+    scores, spans = m.rate([plain, hidden, other, None])
+    assert scores[0] > 0.5 and scores[1] > 0.5 and scores[2] < 0.5 and scores[3] < 0.5
+    assert [hidden[s["start"] : s["end"]] for s in spans[1]] == ["m0ronic", "sccummmy"] and spans[2] == spans[3] == []
+
+
+def test_sample_is_bounded_in_characters(spark):
+    from factweave.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i else 5000)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 4, 2, 100, 200)
+    assert 0 < len(got) <= 20 and {len(t) for t, _ in got} == {10}
