@@ -5,7 +5,8 @@ by most-significant-digit passes that drop a suffix as soon as it is alone in
 its class; the classes left at the end are the repeated windows. The first digit
 is taken at a place that the window's own bytes determine (its least 24-byte
 gram), so that neighbouring windows share one row in the shuffle and rows whose
-first digit is unique go before any text moves.
+first digit is unique go before any text moves. Runs of windows whose covered
+bytes agree in 128 bits of hash count as equal without further passes.
 """
 
 from __future__ import annotations
@@ -45,31 +46,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _gram_hash(v: np.ndarray, at) -> np.ndarray:
+def _gram_hash(v: np.ndarray, at, seed: int = 0) -> np.ndarray:
     """Hash of the 24 bytes at ``at`` (a slice start/stop pair or indices)."""
     if isinstance(at, tuple):
         a, b = at
         parts = (v[a:b], v[a + 8 : b + 8], v[a + 16 : b + 16])
     else:
         parts = (v[at], v[at + 8], v[at + 16])
-    h = parts[0] * _C[0]
+    h = (parts[0] ^ np.uint64(seed)) * _C[0]
     h = _mix(h ^ (h >> np.uint64(31))) + parts[1]
     h = _mix(h * _C[2]) + parts[2]
     return _mix(h * _C[3])
 
 
-def _window_hash(v: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _window_hash(v: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``length`` bytes at each of ``at``."""
-    h = np.zeros(len(at), np.uint64)
+    h = np.full(len(at), seed, np.uint64)
     for d in [*range(0, length - GRAM, GRAM), length - GRAM]:
-        h = _mix((h * _C[0]) ^ _gram_hash(v, at + d))
+        h = _mix((h * _C[0]) ^ _gram_hash(v, at + d, seed))
     return h
 
 
 def anchors(buf: np.ndarray, length: int):
     """For the windows of one text (``buf`` has 8 spare bytes at the end): anchor
     place, least and greatest start of the windows it stands for, hash of its
-    gram, hash of all bytes that those windows cover."""
+    gram, 128 bits of hash of all bytes that those windows cover."""
     n = len(buf) - 8
     windows, span = n - length + 1, length - GRAM + 1
     v = _words(buf)
@@ -85,8 +86,9 @@ def anchors(buf: np.ndarray, length: int):
     edge = np.flatnonzero(np.diff(place)) + 1
     low, high = np.concatenate([[0], edge]), np.concatenate([edge, [windows]]) - 1
     p = place[low]
-    ctx = _mix(_window_hash(v, low, length) * _C[2] ^ _window_hash(v, high, length)) + ((p - low) * 256 + high - low).astype(np.uint64)
-    return p, low, high, h[p], ctx
+    shape = ((p - low) * 256 + high - low).astype(np.uint64)
+    ctx, more = (_mix(_window_hash(v, low, length, seed) * _C[2] ^ _window_hash(v, high, length, seed)) + shape for seed in (0, 0x5851F42D4C957F2D))
+    return p, low, high, h[p], ctx, more
 
 
 def _rows_in(batch: pa.RecordBatch):
@@ -98,9 +100,30 @@ def _padded(text: bytes) -> np.ndarray:
     return np.frombuffer(text + b"\0" * 8, np.uint8)
 
 
-def _first_digit(length: int, tasks: int):
-    """Extraction: for each task of the next step one packed row of anchors."""
-    kinds = [("key", "<u8"), ("ctx", "<u8"), ("doc", "<u4"), ("pos", "<i8"), ("back", "u1"), ("more", "u1")]
+def _hot_keys(base: DataFrame, length: int, tasks: int, docs: int = 5_000) -> np.ndarray:
+    """Hashes of grams that hold more than an eighth of a task's share of a sample's
+    anchors: eight times as many as tasks at most. They decide how the work is
+    dealt, not the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, text in _rows_in(b):
+                for a in range(0, max(0, len(text) - length + 1), CHUNK):
+                    key = anchors(_padded(text[a : a + CHUNK + length - 1]), length)[3]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    some = base.where(F.pmod("th", F.lit(max(1, base.count() // docs))) == 0).select("dk", "th", "text")
+    times = cut(some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")))
+    total = times.agg(F.sum("n")).first()[0] or 0
+    got = times.where(F.col("n") > max(64, total // (8 * tasks))).select("key").collect()
+    return np.sort(np.array([r["key"] for r in got], dtype=np.int64).view(np.uint64))
+
+
+def _first_digit(length: int, tasks: int, hot: np.ndarray):
+    """Extraction: for each task of the next step one packed row of anchors. Those
+    of ``hot`` grams are dealt by their context; those whose context came before
+    in the same lot are covered, go anywhere and are marked."""
+    kinds = [("key", "<u8"), ("ctx", "<u8"), ("ctx2", "<u8"), ("doc", "<u4"), ("pos", "<i8"), ("back", "u1"), ("more", "u1")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -110,14 +133,18 @@ def _first_digit(length: int, tasks: int):
 
         def flush():
             rows = np.concatenate(held)
-            # an anchor whose context came before in this lot is covered whole: only the first goes on
             ids = np.array(docs, dtype=np.int64)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((ids[:, 1], ids[:, 0]))] = np.arange(len(ids))
-            order = np.lexsort((rows["pos"], rank[rows["doc"]], rows["ctx"], rows["key"]))
-            rows = rows[order]
-            again = np.concatenate([[False], (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])])
-            task = (rows["key"] >> np.uint64(20)) % np.uint64(tasks)
+            rank = np.unique(ids, axis=0, return_inverse=True)[1].reshape(-1)
+            of = rank[rows["doc"]]
+            order = np.lexsort((rows["pos"], of, rows["ctx2"], rows["ctx"], rows["key"]))
+            rows, of = rows[order], of[order]
+            same = np.concatenate([[False], np.logical_and.reduce([rows[k][1:] == rows[k][:-1] for k in ("key", "ctx", "ctx2")])])
+            # a repeated row is the same document: its anchors count once
+            once = ~(same & np.concatenate([[False], (of[1:] == of[:-1]) & (rows["pos"][1:] == rows["pos"][:-1])]))
+            rows, again = rows[once], same[once]
+            key = np.where(np.isin(rows["key"], hot), rows["ctx2"], rows["key"]) if len(hot) else rows["key"]
+            key = np.where(again, rows["ctx"] * _C[1] + rows["pos"].astype(np.uint64) * _C[2] + rows["doc"] * _C[3], key)
+            task = (key >> np.uint64(20)) % np.uint64(tasks)
             by = np.argsort(task, kind="stable")
             ends = np.searchsorted(task[by], np.arange(tasks), side="right")
             out, start = {"task": [], "blob": []}, 0
@@ -140,9 +167,9 @@ def _first_digit(length: int, tasks: int):
                     continue
                 docs.append((dk, th))
                 for a in range(0, len(text) - length + 1, CHUNK):
-                    p, low, high, key, ctx = anchors(_padded(text[a : a + CHUNK + length - 1]), length)
+                    p, low, high, key, ctx, ctx2 = anchors(_padded(text[a : a + CHUNK + length - 1]), length)
                     r = np.empty(len(p), kinds)
-                    r["key"], r["ctx"], r["doc"], r["pos"] = key, ctx, len(docs) - 1, p + a
+                    r["key"], r["ctx"], r["ctx2"], r["doc"], r["pos"] = key, ctx, ctx2, len(docs) - 1, p + a
                     r["back"], r["more"] = p - low, high - low
                     held.append(r)
                     count += len(r)
@@ -172,7 +199,7 @@ def _first_digit(length: int, tasks: int):
 FOUND = "dk long, th long, start long, stop long, key long, pos long, hot boolean"
 
 
-def _group_first_digit(unpack, length: int):
+def _group_first_digit(unpack, length: int, hot: np.ndarray):
     """Anchors by first digit: those alone go; of equal contexts all but the
     first are covered (key null); first ones beside other contexts go on."""
 
@@ -182,19 +209,21 @@ def _group_first_digit(unpack, length: int):
             return
         c = {k: np.concatenate([x[k] for x in blobs]) for k in blobs[0]}
         del blobs
-        order = np.lexsort((c["pos"], c["th"], c["dk"], c["ctx"], c["key"]))
+        order = np.lexsort((c["pos"], c["th"], c["dk"], c["ctx2"], c["ctx"], c["key"], c["again"]))
         c = {k: x[order] for k, x in c.items()}
         # a repeated row is the same document: its anchors count once
-        twice = np.logical_and.reduce([c[k][1:] == c[k][:-1] for k in ("key", "ctx", "dk", "th", "pos")])
+        twice = np.logical_and.reduce([c[k][1:] == c[k][:-1] for k in ("key", "ctx", "ctx2", "dk", "th", "pos", "again")])
         c = {k: x[np.concatenate([[True], ~twice])] for k, x in c.items()}
-        same_key = np.concatenate([[False], c["key"][1:] == c["key"][:-1]])
-        same = same_key & np.concatenate([[False], c["ctx"][1:] == c["ctx"][:-1]])
+        again = c["again"]
+        same_key = np.concatenate([[False], (c["key"][1:] == c["key"][:-1]) & ~again[1:]])
+        same = same_key & np.concatenate([[False], (c["ctx"][1:] == c["ctx"][:-1]) & (c["ctx2"][1:] == c["ctx2"][:-1])])
         group = np.cumsum(~same_key) - 1
         contexts = np.bincount(group, weights=~same).astype(np.int64)[group]
-        ask = ~same & (contexts > 1)
+        if len(hot):  # their contexts are in several tasks
+            contexts = np.where(np.isin(c["key"], hot), HOT + 1, contexts)
+        ask, same = ~same & ~again & (contexts > 1), same | again
         start = c["pos"] - c["back"]
         stop = start + c["more"] + length
-        # equal contexts always land in one task, so "again" needs no second look
         for pick, on in ((same, False), (ask, True)):
             at = np.flatnonzero(pick)
             for a in range(0, len(at), 50_000):
@@ -208,18 +237,33 @@ def _group_first_digit(unpack, length: int):
     return run
 
 
+#: Rows of windows that are combined before they are dealt out.
+LOT = 100_000
 ASKED = "key long, rel int, dk long, th long, start long, bytes binary, n int"
 
 
 def _contexts(length: int):
     """The bytes behind each open anchor; windows under a hot digit one by one, as
-    digests (``n`` is 0), dealt out by them."""
+    digests (``n`` is 0), dealt out by them. Of equal ones in a lot the first goes
+    on; the others are covered (``n`` is -1) and go anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ASKED.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
         rows: list[tuple] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            out, last = [r for r in rows if r[6]], None
+            for r in sorted((r for r in rows if not r[6]), key=lambda r: (r[5], r[1], r[2], r[3], r[4])):
+                if last is not None and r[5] == last[5] and r[1] == last[1]:
+                    if r[2:5] != last[2:5]:  # else a repeated row
+                        out.append(((r[3] ^ r[4] * 2654435761) & (2**63 - 1), 0, *r[2:5], b"", -1))
+                else:
+                    out.append(r)
+                last = r
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
         for b in batches:
             for (dk, th, text), asks in zip(_rows_in(b), b.column("asks").to_pylist(), strict=True):
                 text = bytes(text)
@@ -227,13 +271,17 @@ def _contexts(length: int):
                     start, stop, pos = x["start"], x["stop"], x["pos"]
                     if not x["hot"]:
                         rows.append((x["key"], pos - start, dk, th, start, text[start:stop], stop - start - length + 1))
+                        held += stop - start
+                        if held >= 8 << 20:
+                            yield flush()
+                            rows, held = [], 0
                         continue
                     for s in range(start, stop - length + 1):
                         w = hashlib.blake2b(text[s : s + length], digest_size=DIGEST).digest()
                         rows.append((int.from_bytes(w[:8], "little", signed=True), pos - s, dk, th, s, w, 0))
-                if len(rows) >= 20_000:
-                    yield flush()
-                    rows = []
+                    if len(rows) >= LOT:
+                        yield flush()
+                        rows = []
         if rows:
             yield flush()
 
@@ -308,6 +356,10 @@ def _judge(length: int):
             )
 
         for b in batches:
+            done = pc.equal(b.column("n"), -1)
+            if (known := b.filter(done)).num_rows:
+                yield pa.RecordBatch.from_arrays([known.column("dk"), known.column("th"), known.column("start"), pc.add(known.column("start"), length)], ["dk", "th", "start", "stop"])
+                b = b.filter(pc.invert(done))
             while len(b):
                 if windows < 200_000:
                     held.append(b)
@@ -376,9 +428,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True) -
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"),
         text.cast("binary").alias("text"), F.col("doc_id").isNotNull().alias("known"),
     )
-    extract, unpack = _first_digit(length, tasks)
+    hot = _hot_keys(base, length, tasks)
+    extract, unpack = _first_digit(length, tasks, hot)
     packed = base.mapInArrow(extract, "task int, blob binary").repartition(tasks, "task")
-    found = cut(packed.mapInArrow(_group_first_digit(unpack, length), FOUND))
+    found = cut(packed.mapInArrow(_group_first_digit(unpack, length, hot), FOUND))
 
     asks = found.where("key is not null").groupBy("dk", "th").agg(F.collect_list(F.struct("start", "stop", "key", "pos", "hot")).alias("asks"))
     # Both joins read the same columns, so that one exchange of the texts serves both.
@@ -393,4 +446,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True) -
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, spans and the digest of what is left of every document."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -42,6 +42,25 @@ def test_chunks_make_no_difference(spark, monkeypatch):
     assert got == brute([(d, t) for d, t, _ in rows])
 
 
+def test_one_passage_in_many_contexts(spark, monkeypatch):
+    # a gram under which nearly all anchors fall, each in a context of its own
+    import random
+
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(104))
+    rows = [(i, "".join(rng.choice("0123456789") for _ in range(rng.randint(0, 90))) + passage + "".join(rng.choice("0123456789") for _ in range(rng.randint(0, 90))), "x") for i in range(400)]
+    rows += rows[5:7]
+    for most, lot in ((10**9, 100_000), (0, 100_000), (0, 7)):
+        found = suffix._hot_keys
+        monkeypatch.setattr(suffix, "LOT", lot)
+        if not most:
+            monkeypatch.setattr(suffix, "_hot_keys", lambda base, length, tasks: found(base, length, tasks * 1000))
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(frame(spark, rows)).collect())
+        want = brute(sorted({(d, t) for d, t, _ in rows}))
+        assert got == sorted((d, *want[d]) for d, _, _ in rows)
+        monkeypatch.undo()
+
+
 def test_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(none).count() == 0
