@@ -16,13 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, partitions
+from .common import connected_components, cut, join_hot, partitions, spare
 from .simhash import SEEDS, _majority, grid_links, sampled_masks, shingles
 
 NO_ID = -(2**63)
-#: Grid tables, two-bit segments that each looks at, bits that may differ. They
-#: decide how much is left to the prefix join, not the result.
-TABLES, SEGMENTS, LIMIT = 60, 9, 32
+#: Grid tables, least two-bit segments that each looks at, bits that may differ,
+#: texts that a cell should hold. They decide how much is left to the prefix join,
+#: not the result.
+TABLES, SEGMENTS, LIMIT, CELL = 60, 9, 32, 16
 #: Documents in which common shingles are counted and the most that are told
 #: apart; these, too, decide the work only: any order of the shingles is exact.
 COUNTED, COMMON = 2_000, 100_000
@@ -30,6 +31,12 @@ COUNTED, COMMON = 2_000, 100_000
 BUCKETS = 128
 
 
+def segments_for(classes: int) -> int:
+    """Segments such that a table's cells grow with the number of texts: one of
+    three counts, of chances 1/4, 1/2, 1/4, has an entropy of 1.5 bits."""
+    return max(SEGMENTS, math.ceil(math.log2(max(1, classes) / CELL) / 1.5)) if classes > CELL else SEGMENTS
+
+
 def shingle_set(text: str | None, words: int) -> tuple[np.ndarray, list[bytes]]:
     """Sorted hashes of the distinct shingles, and one shingle for each."""
     s = shingles(text, words)
@@ -212,7 +219,7 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, segments: int = SEGMENTS, limit: int = LIMIT) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, segments: int | None = None, limit: int = LIMIT) -> DataFrame:
     """(dk, th, first_dk, first_th): for every row of ``docs(doc_id, text)`` its key
     (doc_id, null as the least long; hash of the text) and the least key of its
     group. Groups are the components of the links of Jaccard similarity
@@ -228,8 +235,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     """
     keyed = _keyed(docs)
     sig = cut(signatures(keyed, words))
-    classes = sig.groupBy("id").agg(F.min(F.struct("dk", "th")).alias("rep"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.first("sk").alias("sk"))
-    points, masks = classes.select("id", "f0", "f1"), sampled_masks(tables, segments)
+    classes = cut(sig.groupBy("id").agg(F.min(F.struct("dk", "th")).alias("rep"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.first("sk").alias("sk"), F.count("*").alias("copies")))
+    points, masks = classes.select("id", "f0", "f1"), sampled_masks(tables, min(64, segments or segments_for(classes.count())))
     links = cut(grid_links(points, masks, limit))
     pairs = links.where("a is not null").select("a", "b").distinct()
     linked = cut(verified(pairs, keyed, classes, words, similarity))
@@ -240,10 +247,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables
     more = cut(verified(rest, keyed, classes, words, similarity))
     if more.limit(1).count():
         roots = connected_components(linked.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("first"))
-    of = placed.join(least, "root").select("id", "first")
-    return sig.select("dk", "th", "id").join(of, "id").select("dk", "th", F.col("first.dk").alias("first_dk"), F.col("first.th").alias("first_th"))
+    placed = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "rep", "copies", F.coalesce("root", "id").alias("root"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
+    # A group or a set of shingles may hold a third of all rows.
+    of = join_hot(placed.select("id", "copies", "root"), least, ["root"], "members", classes.count()).select("id", "copies", "first")
+    return join_hot(sig.select("dk", "th", "id"), of, ["id"], "copies", sig.count()).select("dk", "th", F.col("first.dk").alias("first_dk"), F.col("first.th").alias("first_th"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -251,7 +259,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     hash of the text); all columns stay. A null doc_id is less than any other;
     rows that repeat doc_id and text stay together."""
     g = near_groups(docs, words, similarity)
-    gone = g.where("dk <> first_dk OR th <> first_th").select(F.col("dk").alias("_dk"), F.col("th").alias("_th")).distinct()
+    dk, th = spare(docs, "dk", "th")
+    gone = g.where("dk <> first_dk OR th <> first_th").select(F.col("dk").alias(dk), F.col("th").alias(th)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text)})
-    return keyed.join(gone, ["_dk", "_th"], "left_anti").select(*docs.columns)
+    keyed = docs.withColumns({dk: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(text)})
+    return keyed.join(gone, [dk, th], "left_anti").select(*docs.columns)

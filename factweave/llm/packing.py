@@ -162,4 +162,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places."""
     return pack(table(spark, sf_dir, "documents"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontaminate, lines, oracles, packing, pii, quality, simhash, suffix, topk, toxicity, warc
+from . import decontaminate, lines, oracles, packing, pii, pipeline, quality, simhash, suffix, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_toxicity": toxicity.op9,
         "op10_warc": warc.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -1,9 +1,18 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
 A fingerprint is mapped to the bit counts of its two-bit segments, an integer
-vector whose Manhattan distance is a lower bound of the fingerprints' Hamming
-distance. A grid range join on subsets of its coordinates proposes pairs, the
-bound drops some, and the Hamming distance decides.
+vector of 32 coordinates 0, 1 or 2 whose Manhattan distance is a lower bound of
+the fingerprints' Hamming distance. A grid range join under that distance proposes
+pairs, the bound drops some, and the Hamming distance decides.
+
+The range join needs no neighbouring cells. Let the coordinates be dealt into
+d + 3 blocks. Vectors within Manhattan distance d differ in at most d coordinates,
+for each that differs adds at least 1, and so in at most d blocks; on the other 3
+or more they agree entirely. So of the grids that look at 3 blocks each, in cells
+of width 1, at least one has both vectors in the same cell: the pairs that share a
+cell of some grid hold all pairs within the range, with no cell beside it to be
+searched. With blocks fewer (cells wider), neighbours would have to be joined; the
+choice of 3 makes cells of about 14 coordinates, which keeps them small.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, partitions, table
+from .common import connected_components, cut, join_hot, partitions, table
 
 SEEDS = (42, 43)
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -250,15 +259,17 @@ def components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     copies cost one point, and a dense run gives a spanning forest, not all pairs.
     """
     found = cut(fingerprints(docs, words))
-    points = found.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    points = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
     links = grid_links(points.select(F.col("fp").alias("id"), F.col("fp").alias("f0")), exact_masks(distance), distance)
     roots = connected_components(links.where("a is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
-    return found.join(of, "fp").select("doc_id", "fp", "component_id")
+    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    # A component or a fingerprint may hold a third of all rows.
+    of = join_hot(placed.select("fp", "copies", "root"), least, ["root"], "members", points.count()).select("fp", "copies", "component_id")
+    return join_hot(found, of, ["fp"], "copies", found.count()).select("doc_id", "fp", "component_id")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     c = components(table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

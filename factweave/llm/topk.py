@@ -288,7 +288,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
 
     q_tiles = max(1, -(-asked // query_tile))
     parts = max(1, -(-total // tile))
-    width = min(parts * q_tiles, max(partitions(spark), 4 * spark.sparkContext.defaultParallelism))
+    width = max(partitions(spark), min(parts * q_tiles, 4 * spark.sparkContext.defaultParallelism))
     ct = _tiles(v.repartition(max(1, min(parts, partitions(spark)))), tile).select(F.col("tile").alias("c_tile"), F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.col("dims").alias("c_dims"))
     qt = _tiles(q.repartition(q_tiles, "vec_id"), query_tile, (seed_ids[once], sample[once]), k)
     # Numbers of the query tiles: each is dealt to every place, each candidate tile to one place of each.
@@ -313,6 +313,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every twentieth vector."""
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 

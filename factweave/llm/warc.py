@@ -20,11 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import partitions, shared_dir, table
 
 # Fixed values of the formats.
 DICT_MAGIC = 0x184D2A5D
 SPACER = struct.pack("<II", 0x184D2A5C, 1)  # its body is the writer's line end
+#: Bytes of payloads that an archive should hold at most: it is read as one value.
+ARCHIVE = 256 << 20
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -75,9 +77,11 @@ def train_dictionary(pages: DataFrame, rows: int = 256, chars: int = 16_384, siz
         return b""
 
 
-def write_archives(records: DataFrame, path: str, dictionary: bytes = b"") -> None:
-    """``records(page_id, url, html, refers_to)`` as archives in ``path``, one
-    for each partition; every row becomes a record (null html: empty payload)."""
+def write_archives(records: DataFrame, path: str, dictionary: bytes = b"", archive: int = ARCHIVE) -> None:
+    """``records(page_id, url, html, refers_to)`` as archives in ``path``; every row
+    becomes a record (null html: empty payload). There are as many archives as
+    tasks; where those would hold more than about ``archive`` bytes of payloads
+    each, the rows are dealt out to more."""
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -92,7 +96,11 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes = b"") -> No
 
     # Strings keep 64-bit ids exact where a batch holds nulls.
     rows = records.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
-    rows.mapInPandas(frames, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(path)
+    total = records.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    if total > archive * partitions(records.sparkSession):
+        rows = rows.repartition(-(-2 * total // archive), F.xxhash64("page_id", "url"))
+    # a file cut by rows would lack its dictionary
+    rows.mapInPandas(frames, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def frame_end(data, at: int) -> int:
@@ -218,6 +226,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Rows that share the largest page_id are all responses; a null page_id is
     less than any other; a group of null ids only is all responses.
     """
+    # Only the columns named are used, so others' names can't clash.
     p = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("_n"))
     last = p.where(F.col("_n") >= least_bytes).groupBy("_sha", "_n").agg(F.max("page_id").alias("_last"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     other = (F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))) & F.col("_last").isNotNull()
@@ -225,6 +234,8 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of the archives of all pages. They stay in the shared
+    folder, since the rows are read from them when the result is computed."""
     pages = table(spark, sf_dir, "pages")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(mark_revisits(pages), path, train_dictionary(pages))
