@@ -7,60 +7,9 @@ Parquet in the shared folder and read again as the next stage's input.
 
 from __future__ import annotations
 
-import uuid
+from factweave.llm.pipeline import STAGES, drop_contaminated, drop_near_duplicates, drop_repeated_lines, drop_toxic, pack_windows, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from factweave.llm import decontaminate, lines, neardup, packing, toxicity
-from factweave.llm.common import shared_dir, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5 by a model of the labelled documents; all of them
-    where the labels give no model (none, or all alike)."""
-    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    if model.crf is None:
-        return docs
-    return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
-
-
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand earlier in the corpus, equal or
-    (lines of five or more words) within one edited word."""
-    return lines.dedup_lines(docs, short_copies=True).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 0.8 or more similar ones (five-word shingles)."""
-    return neardup.drop_near_duplicates(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in benchmark windows."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left, with their sequences and offsets."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("benchmark decontamination", drop_contaminated),
-    ("packing", pack_windows),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "drop_contaminated", "drop_near_duplicates", "drop_repeated_lines", "drop_toxic", "pack_windows", "run"]
 
 #: SQL can't express the fitted chain or the tokenizer; tests use brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's rows."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
