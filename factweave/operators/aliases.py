@@ -32,11 +32,13 @@ def alias_fields(stats: DataFrame) -> DataFrame:
     return stats.where(ok).select("entity_type", "predicate")
 
 
-def derive_aliases(facts: DataFrame, entities: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
+def derive_aliases(facts: DataFrame, entities: DataFrame, blocklist: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
     """(entity_id, alias, alias_norm, source, confidence): ids, values of alias
     fields, and what e-mail addresses tell; the first in that order, then by
-    fact id, wins for each entity and normal form."""
-    fields = alias_fields(alias_field_stats(facts, entities))
+    fact id, wins for each entity and normal form. ``fields`` are the alias fields
+    where they are known already."""
+    if fields is None:
+        fields = alias_fields(alias_field_stats(facts, entities))
     ids = entities.select(F.col("id").alias("entity_id"), F.col("id").alias("alias"), F.lit("id").alias("source"), F.lit(1.0).alias("confidence"), F.lit(-1).cast("long").alias("fid"), F.lit(0).alias("rank"))
     v = F.trim(string_or_number(F.col("object_json")))
     typed = facts.join(entities.select(F.col("id").alias("subject"), "entity_type"), "subject").join(F.broadcast(fields), ["entity_type", "predicate"])

@@ -17,15 +17,30 @@ def _values(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return v.join(entities.select(F.col("id").alias("subject"), F.col("entity_type").alias("subject_type")), "subject")
 
 
+def alias_owners(aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(norm, entity_type, owners, one, two): by normal form and type how many have
+    it, and the two owners of least id with their confidence. However many own a
+    name, it is one row."""
+    owner = F.struct("entity_id", "confidence")
+    index = with_type(aliases, entities).groupBy(F.col("alias_norm").alias("norm"), "entity_type")
+    both = index.agg(F.count("*").alias("owners"), F.min(owner).alias("one"), F.max(owner).alias("last"))
+    return both.select("norm", "entity_type", "owners", "one", F.when(F.col("owners") == 2, F.col("last")).alias("two"))
+
+
 def whole_value_hits(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """By short value: winners (types hit once), their least target, and whether
-    it is ambiguous. A type with several hits doesn't veto one with a single hit."""
+    it is ambiguous. A type with several hits doesn't veto one with a single hit.
+
+    A value meets one row for each type that knows its name. A subject is no hit
+    of its own value, so a type is hit once if it has one owner that isn't the
+    subject, or two of which one is."""
     short = _values(facts, entities).where(F.length("v") < LONG).withColumn("norm", normalize_alias(F.col("v"))).where(F.octet_length("norm") >= 2)
-    index = with_type(aliases, entities).select(F.col("alias_norm").alias("norm"), "entity_id", "entity_type", F.col("confidence").alias("alias_conf"))
-    hits = short.join(index, "norm").where("entity_id <> subject")
-    per_type = hits.groupBy("id", "subject", "predicate", "entity_type").agg(F.count("*").alias("n"), F.min("entity_id").alias("target"), F.min("alias_conf").alias("c"))
-    single = F.when(F.col("n") == 1, F.struct("entity_type", "target", "c"))
-    return per_type.groupBy("id", "subject", "predicate").agg(F.count(single).alias("winners"), F.min(single).alias("w"))
+    hits = short.join(alias_owners(aliases, entities), "norm")
+    mine = (F.col("one.entity_id") == F.col("subject")).cast("int"), (F.col("two.entity_id") == F.col("subject")).cast("int")
+    single = F.when((F.col("owners") == 1) & (mine[0] == 0), F.col("one")).when((F.col("owners") == 2) & (mine[0] == 1), F.col("two")).when((F.col("owners") == 2) & (mine[1] == 1), F.col("one"))
+    hits = hits.where((F.col("owners") > 1) | (mine[0] == 0))
+    won = F.when(single.isNotNull(), F.struct("entity_type", single.getField("entity_id").alias("target"), single.getField("confidence").alias("c")))
+    return hits.select("id", "subject", "predicate", won.alias("won")).groupBy("id", "subject", "predicate").agg(F.count("won").alias("winners"), F.min("won").alias("w"))
 
 
 def whole_value_refs(facts: DataFrame, entities: DataFrame, aliases: DataFrame, discount: float = 0.9) -> DataFrame:
@@ -34,9 +49,7 @@ def whole_value_refs(facts: DataFrame, entities: DataFrame, aliases: DataFrame,
 
 
 def mention_refs(facts: DataFrame, entities: DataFrame, aliases: DataFrame, discount: float = 0.9, least_conf: float = 0.9, least_chars: int = 5) -> DataFrame:
-    """Entities that long values name without ambiguity, longest mention first.
-
-    Only n-grams whose first word begins some alias are joined."""
+    """Entities that long values name without ambiguity, longest mention first."""
     index = with_type(aliases, entities)
     sole = index.groupBy(F.col("alias_norm").alias("norm")).agg(F.count("*").alias("n"), F.min(F.struct("entity_id", "entity_type", "confidence")).alias("h")).where("n = 1")
     sole = sole.where((F.col("h.confidence") >= least_conf) & (F.length("norm") >= least_chars)).select("norm", "h.entity_id", "h.entity_type", "h.confidence")

@@ -73,7 +73,7 @@ def disputed(base: DataFrame) -> DataFrame:
     """``base`` and contradicting facts from other sources, by the subject's number."""
     n = F.regexp_extract("subject", "([0-9]+)$", 1).cast("long")
     extra = base.where(F.col("predicate").isin("segment", "status") & (n % 7 == 0)).select(
-        (F.col("id") + 1_000_000_000).alias("id"), "subject", "predicate", F.lit('"DISPUTED"').alias("object_json"), "document_id",
+        (-F.col("id") - 1).alias("id"), "subject", "predicate", F.lit('"DISPUTED"').alias("object_json"), "document_id",
         F.when(n % 3 == 0, "llm").when(n % 3 == 1, "csv").otherwise("txt").alias("adapter"), F.when(n % 2 == 0, 0.9).otherwise(0.5).alias("confidence"),
         (F.col("observed_at") + n % 5 - 2).alias("observed_at"), "locator",
     )

@@ -42,6 +42,7 @@ def _fact_sql() -> str:
 FACTS = f"facts AS ({_fact_sql()})"
 ENTITIES = "entities AS (" + " UNION ALL ".join(f"SELECT concat('{p}', {k}) AS id, '{kind}' AS entity_type FROM {bridge.TABLES[kind]}" for kind, (_, p, k, _, _) in bridge.TYPES.items()) + ")"
 BASE = f"WITH RECURSIVE {FACTS}, {ENTITIES}"
+PLAIN = f"WITH {FACTS}, {ENTITIES}"
 STR = "CASE WHEN object_json[1] = '\"' THEN object_json->>'$' END"
 STRNUM = "CASE WHEN object_json[1] = '\"' THEN object_json->>'$' WHEN object_json[1] IN ('-','0','1','2','3','4','5','6','7','8','9') THEN object_json END"
 VAL = "CASE WHEN object_json[1] = '\"' THEN object_json->>'$' WHEN object_json = 'null' THEN '' ELSE object_json END"
@@ -84,10 +85,11 @@ GRAMS = (
 )
 DISPUTED = """num AS (SELECT *, regexp_extract(subject, '([0-9]+)$', 1)::BIGINT AS num FROM facts),
 disputed AS (SELECT id, subject, predicate, object_json, adapter, confidence, observed_at FROM facts
-  UNION ALL SELECT id + 1000000000, subject, predicate, '"DISPUTED"', CASE num % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'csv' ELSE 'txt' END, CASE WHEN num % 2 = 0 THEN 0.9 ELSE 0.5 END, observed_at + num % 5 - 2
+  UNION ALL SELECT -id - 1, subject, predicate, '"DISPUTED"', CASE num % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'csv' ELSE 'txt' END, CASE WHEN num % 2 = 0 THEN 0.9 ELSE 0.5 END, observed_at + num % 5 - 2
   FROM num WHERE predicate IN ('segment', 'status') AND num % 7 = 0)"""
-CONFLICTS = f"""{DISPUTED}, conflicts AS (SELECT a.subject, a.predicate, a.id AS fact_a_id, b.id AS fact_b_id FROM disputed a JOIN disputed b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id AND a.object_json <> b.object_json
-  JOIN entities e ON e.id = a.subject WHERE (a.predicate, e.entity_type) IN (('segment', 'customers'), ('status', 'orders')))"""
+CONFLICTS = f"""{DISPUTED}, scalar AS (SELECT * FROM disputed WHERE (predicate = 'segment' AND subject LIKE 'CUST-%') OR (predicate = 'status' AND subject LIKE 'ORD-%')),
+unlike AS (SELECT subject, predicate FROM scalar GROUP BY ALL HAVING min(object_json) <> max(object_json)), open AS (SELECT * FROM scalar SEMI JOIN unlike USING (subject, predicate)),
+conflicts AS (SELECT a.subject, a.predicate, a.id AS fact_a_id, b.id AS fact_b_id FROM open a JOIN open b USING (subject, predicate) WHERE a.id < b.id AND a.object_json <> b.object_json)"""
 
 
 def _f(s, d):
@@ -109,12 +111,14 @@ def _scalar(s):
 @query("top_referenced_customers", f"{BASE}, {ALIASES}, top AS (SELECT object_json, count(*) AS n FROM facts WHERE predicate = 'ref:customers' GROUP BY 1 ORDER BY n DESC, object_json LIMIT 20), lab AS (SELECT entity_id, arg_min(alias, alias) AS label FROM aliases WHERE source LIKE 'field:%' GROUP BY 1) SELECT object_json->>'$' AS id, n, label FROM top JOIN lab ON lab.entity_id = object_json->>'$'")
 def top_referenced_customers(s, d):
     """Flagship: the customers that orders refer to most, with their labels."""
-    kinds = ["customers", "orders", "nations", "regions"]
-    f, e = bridge.facts(s, d, kinds), bridge.entities(s, d, kinds)
+    f = bridge.facts(s, d, ["customers", "orders"])
     top = aggregates.top_values(f, "ref:customers", 20).select(fx.unquote(F.col("object_json")).alias("id"), "n")
-    cust = e.where("entity_type = 'customers'").join(top, "id", "left_semi")
-    known = aliases.derive_aliases(f.where("predicate NOT LIKE 'ref:%'"), e).join(top.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    return top.join(aliases.entity_labels(cust, known), "id")
+    e = bridge.entities(s, d, ["customers", "orders"])
+    # Which fields name customers is told by all of them; only the top ones' aliases are derived.
+    names = aliases.alias_fields(aliases.alias_field_stats(bridge.facts(s, d, ["customers"]), bridge.entities(s, d)))
+    cust = e.where("entity_type = 'customers'").join(F.broadcast(top.select("id")), "id", "left_semi")
+    own = bridge.facts(s, d, ["customers"]).join(F.broadcast(top.select(F.col("id").alias("subject"))), "subject", "left_semi")
+    return F.broadcast(top).join(aliases.entity_labels(cust, aliases.derive_aliases(own, cust, fields=names)), "id")
 
 
 @query("emit_facts", f"{BASE} SELECT * FROM facts")
@@ -219,21 +223,21 @@ query("multivalue_evidence", f"""{BASE}, {DISPUTED}, dist AS (SELECT DISTINCT e.
   per AS (SELECT entity_type, predicate, subject, list(object_json ORDER BY object_json)[1:5] AS vals FROM dist GROUP BY ALL HAVING count(*) >= 2), few AS (SELECT *, row_number() OVER (PARTITION BY entity_type, predicate ORDER BY subject) AS rn FROM per)
   SELECT entity_type, predicate, to_json(list(vals ORDER BY rn))::VARCHAR AS samples FROM few WHERE rn <= 5 GROUP BY ALL""")(
     lambda s, d: conflicts.multivalue_evidence(bridge.disputed(_f(s, d)), _e(s, d), _scalar(s).where("cardinality = 'list'")).withColumn("samples", F.to_json("samples")))
-query("detect_conflicts", f"{BASE}, {CONFLICTS} SELECT * FROM conflicts")(lambda s, d: conflicts.detect_conflicts(bridge.disputed(_f(s, d)), _e(s, d), _scalar(s)))
+query("detect_conflicts", f"{PLAIN}, {CONFLICTS} SELECT * FROM conflicts")(lambda s, d: conflicts.detect_conflicts(bridge.disputed(_f(s, d)), _e(s, d), _scalar(s)))
 DECIDED = f"""{CONFLICTS}, pri AS (SELECT * FROM (VALUES ('csv', 100), ('json', 100), ('pdf', 50), ('txt', 50), ('llm', 20)) v(adapter, p)),
-  sides AS (SELECT c.*, coalesce(pa.p, 0) AS pa, coalesce(pb.p, 0) AS pb, a.confidence >= 0.7 AS oa, b.confidence >= 0.7 AS ob, a.observed_at AS ta, b.observed_at AS tb FROM conflicts c JOIN disputed a ON a.id = fact_a_id JOIN disputed b ON b.id = fact_b_id LEFT JOIN pri pa ON pa.adapter = a.adapter LEFT JOIN pri pb ON pb.adapter = b.adapter),
+  sides AS (SELECT c.*, coalesce(pa.p, 0) AS pa, coalesce(pb.p, 0) AS pb, a.confidence >= 0.7 AS oa, b.confidence >= 0.7 AS ob, a.observed_at AS ta, b.observed_at AS tb FROM conflicts c JOIN open a ON a.id = fact_a_id JOIN open b ON b.id = fact_b_id LEFT JOIN pri pa ON pa.adapter = a.adapter LEFT JOIN pri pb ON pb.adapter = b.adapter),
   decided AS (SELECT subject, predicate, fact_a_id, fact_b_id, CASE WHEN pa <> pb THEN CASE WHEN pa > pb THEN 'a' ELSE 'b' END WHEN oa <> ob THEN CASE WHEN oa THEN 'a' ELSE 'b' END WHEN ta <> tb THEN CASE WHEN ta > tb THEN 'a' ELSE 'b' END ELSE 'inbox' END AS decision FROM sides)"""
 
 
-@query("resolve", f"{BASE}, {DECIDED} SELECT *, 'prefer:' || CASE decision WHEN 'a' THEN fact_a_id WHEN 'b' THEN fact_b_id END AS preferred FROM decided")
+@query("resolve", f"{PLAIN}, {DECIDED} SELECT *, 'prefer:' || CASE decision WHEN 'a' THEN fact_a_id WHEN 'b' THEN fact_b_id END AS preferred FROM decided")
 def q_resolve(s, d):
     f = bridge.disputed(_f(s, d))
     return conflicts.resolve(conflicts.detect_conflicts(f, _e(s, d), _scalar(s)), f)
 
 
-query("resolve_stats", f"{BASE}, {DECIDED} SELECT decision, count(*) AS n FROM decided GROUP BY 1")(lambda s, d: q_resolve(s, d).groupBy("decision").agg(F.count("*").alias("n")))
+query("resolve_stats", f"{PLAIN}, {DECIDED} SELECT decision, count(*) AS n FROM decided GROUP BY 1")(lambda s, d: q_resolve(s, d).groupBy("decision").agg(F.count("*").alias("n")))
 query("graph_edges", f"{BASE}, {EDGES} SELECT * FROM edges")(lambda s, d: graph.graph_edges(_f(s, d), _e(s, d)))
-query("incoming_refs", f"{BASE} SELECT {VAL} AS target, subject, predicate, coalesce(entity_type, '') AS subject_type FROM facts f LEFT JOIN entities e ON e.id = f.subject WHERE predicate LIKE 'ref:%'")(lambda s, d: graph.incoming_refs(_f(s, d), _e(s, d)))
+query("incoming_refs", f"{BASE} SELECT {VAL} AS target, subject, predicate, coalesce(entity_type, '') AS subject_type FROM facts f LEFT JOIN entities e ON e.id = f.subject WHERE predicate LIKE 'ref:%'")(lambda s, d: graph.incoming_refs(_f(s, d), _e(s, d)).select("target", "subject", "predicate", "subject_type"))
 query("neighbours", f"{BASE} SELECT DISTINCT id FROM (SELECT {VAL} AS id FROM facts WHERE predicate LIKE 'ref:%' AND subject = 'CUST-7' UNION SELECT subject FROM facts WHERE predicate LIKE 'ref:%' AND {VAL} = 'CUST-7') WHERE id <> 'CUST-7'")(lambda s, d: graph.neighbours(_f(s, d), "CUST-7"))
 
 
@@ -258,18 +262,35 @@ def _vecs(s, d):
 
 
 @query("cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 5) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
 def q_cosine(s, d):
     v = _vecs(s, d)
-    return vectors.cosine_topk(v.where("id < 5"), v, 10)
+    return vectors.cosine_topk(v.where("id % 20 = 0"), v, 10)
 
 
-@query("hybrid_candidates")
+# Sections are parts; their vectors are those of the embeddings table, by number.
+HYBRID = f"""vec AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings), q AS (SELECT 'PART-' || vec_id AS section, vec_id, v FROM vec WHERE vec_id % 20 = 0),
+  cand AS (SELECT 'SUPP-' || vec_id AS entity_id, vec_id, v FROM vec WHERE 'SUPP-' || vec_id IN (SELECT id FROM entities)),
+  sem AS (SELECT section, entity_id, round(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.v, c.v)), 6) AS score FROM q, cand c),
+  semk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, entity_id) AS rank FROM sem QUALIFY rank <= 5),
+  txt AS (SELECT 'PART-' || p_partkey AS section, 'sold by supp-' || (p_partkey % 100) || ' and supp-' || (p_partkey % 7) || ' to cust-' || (p_partkey % 1000) AS text FROM part),
+  tk AS (SELECT section, {TOKENS.format('text')} AS t FROM txt), gr AS (SELECT section, n, pos, array_to_string(t[pos:pos + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS pos FROM tk, range(1, 6) r(n) WHERE len(t) >= n)),
+  al AS (SELECT g.section, a.entity_id, a.confidence, g.n, g.pos, e.entity_type FROM gr g JOIN aliases a ON a.alias_norm = g.gram JOIN entities e ON e.id = a.entity_id QUALIFY row_number() OVER (PARTITION BY g.section, a.entity_id ORDER BY g.n DESC, g.pos) = 1),
+  alp AS (SELECT section, entity_id, confidence, 0 AS src, row_number() OVER (PARTITION BY section ORDER BY n DESC, pos, entity_type, entity_id) AS spot FROM al),
+  both_ AS (SELECT * FROM alp UNION ALL SELECT section, entity_id, greatest(0.0, least(1.0, score)), 1, rank FROM semk),
+  once AS (SELECT b.*, e.entity_type FROM both_ b JOIN entities e ON e.id = b.entity_id QUALIFY row_number() OVER (PARTITION BY section, entity_type, entity_id ORDER BY src, spot) = 1)"""
+
+
+@query("hybrid_candidates", f"{BASE}, {ALIASES}, {HYBRID} SELECT section, entity_id, entity_type, round(confidence, 6) AS confidence, src, row_number() OVER (PARTITION BY section ORDER BY src, spot, entity_id)::INTEGER AS place FROM once QUALIFY place <= 6")
 def q_hybrid(s, d):
-    notes = _f(s, d).where("predicate = 'note' AND id % 64 = 0 OR predicate = 'note'").select(F.col("id").alias("section"), fx.string_only(F.col("object_json")).alias("text"))
-    by_alias = reconcile.text_candidates(notes, _e(s, d), _a(s, d))
-    by_vector = by_alias.select("section", F.lit("NAT-1").alias("entity_id"), F.lit(1.2).alias("score"), F.lit(1).alias("rank")).distinct()
-    return vectors.hybrid_candidates(by_alias, by_vector, _e(s, d), 3)
+    parts = s.read.schema(bridge.SCHEMAS["part"]).parquet(f"{d}/part.parquet")
+    texts = parts.selectExpr("concat('PART-', p_partkey) AS section", "concat('sold by supp-', p_partkey % 100, ' and supp-', p_partkey % 7, ' to cust-', p_partkey % 1000) AS text")
+    by_alias = reconcile.text_candidates(texts, _e(s, d), _a(s, d))
+    v = _vecs(s, d)
+    suppliers = v.select(F.concat(F.lit("SUPP-"), "id").alias("id"), "vec").join(_e(s, d).select("id"), "id", "left_semi")
+    top = vectors.cosine_topk(v.where("id % 20 = 0").select(F.concat(F.lit("PART-"), "id").alias("id"), "vec"), suppliers, 5)
+    by_vector = top.select(F.col("query_id").alias("section"), F.col("id").alias("entity_id"), "score", "rank")
+    return vectors.hybrid_candidates(by_alias, by_vector, _e(s, d), 6).withColumn("confidence", F.round("confidence", 6))
 
 
 query("card_text", f"""{BASE}, {ALIASES}, a1 AS (SELECT entity_id, alias, confidence FROM aliases WHERE lower(alias) <> lower(entity_id) QUALIFY row_number() OVER (PARTITION BY entity_id, lower(alias) ORDER BY confidence DESC, alias) = 1),
@@ -280,9 +301,9 @@ query("card_text", f"""{BASE}, {ALIASES}, a1 AS (SELECT entity_id, alias, confid
     lambda s, d: vectors.card_text(_f(s, d), _e(s, d), _a(s, d)).drop("card_hash"))
 
 
-@query("stale_cards", f"{BASE} SELECT id FROM entities WHERE entity_type = 'nations' AND NOT id LIKE '%1'")
+@query("stale_cards", f"{BASE} SELECT id FROM entities WHERE NOT id LIKE '%1'")
 def q_stale(s, d):
-    cards = _e(s, d).where("entity_type = 'nations'").select("id", F.col("id").alias("card"), F.sha2("id", 256).alias("card_hash"))
+    cards = vectors.card_text(_f(s, d), _e(s, d), _a(s, d))
     old = cards.select(F.col("id").alias("entity_id"), F.when(F.col("id").endswith("1"), F.col("card_hash")).otherwise("old").alias("card_hash"), F.lit("m").alias("model"))
     return vectors.stale_cards(cards, old, "m").select("id")
 
@@ -335,7 +356,7 @@ def q_cascade(s, d):
     return aggregates.summary(**{k: left[k] for k in ("facts", "conflicts", "documents")})
 
 
-@query("clear_llm", f"{BASE}, {CONFLICTS} SELECT 'facts' AS name, count(*) AS n FROM disputed WHERE adapter <> 'llm' UNION ALL SELECT 'conflicts', count(*) FROM conflicts WHERE fact_b_id NOT IN (SELECT id FROM disputed WHERE adapter = 'llm')")
+@query("clear_llm", f"{BASE}, {CONFLICTS} SELECT 'facts' AS name, count(*) AS n FROM disputed WHERE adapter <> 'llm' UNION ALL SELECT 'conflicts', count(*) FROM conflicts WHERE fact_a_id NOT IN (SELECT id FROM disputed WHERE adapter = 'llm') AND fact_b_id NOT IN (SELECT id FROM disputed WHERE adapter = 'llm')")
 def q_clear(s, d):
     t = _store(s, d) | {"section_cache": s.createDataFrame([], "section_hash string"), "entity_aliases": _a(s, d)}
     left = dml.clear_llm(t)
@@ -363,11 +384,66 @@ def q_insert(s, d):
     return dml.insert_new(old, new, ["id"])
 
 
-@query("section_cache_miss", "SELECT doc_id AS section FROM documents WHERE doc_id < 500 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("section_cache_miss", "SELECT doc_id AS section FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
 def q_misses(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("section"), "text")
     cache = docs.where("section % 2 = 0").select(F.sha2("text", 256).alias("section_hash"))
-    return grounding.uncached(docs, cache, 500).select("section")
+    return grounding.uncached(docs, cache).select("section")
+
+
+query("reconcile_stats", f"""{BASE}, {ALIASES}, {WHOLE}, {GRAMS}, found AS (SELECT subject, 'ref:' || t AS predicate, to_json(target)::VARCHAR AS object_json FROM won WHERE winners = 1 UNION SELECT subject, 'ref:' || entity_type, to_json(entity_id)::VARCHAR FROM mentions)
+  SELECT 'scanned' AS name, count(*) AS n FROM strs UNION ALL SELECT 'ambiguous', count(*) FROM won WHERE winners <> 1 UNION ALL SELECT 'mentions', count(*) FROM mentions
+  UNION ALL SELECT 'emitted', count(*) FROM (SELECT * FROM found EXCEPT SELECT subject, predicate, object_json FROM facts)""")(lambda s, d: reconcile.reconcile_stats(_f(s, d), _e(s, d), _a(s, d)))
+
+
+@query("count_predicate", f"{BASE} SELECT 'ref' AS kind, count(*) AS n FROM facts WHERE predicate = 'ref:nations' AND object_json = '\"NAT-3\"' UNION ALL SELECT 'attribute', count(*) FROM facts WHERE predicate = 'status' AND object_json = '\"F\"'")
+def q_count_predicate(s, d):
+    one = aggregates.count_predicate(_f(s, d), "ref:nations", "NAT-3").select(F.lit("ref").alias("kind"), "n")
+    return one.union(aggregates.count_predicate(_f(s, d), "status", "F").select(F.lit("attribute").alias("kind"), "n"))
+
+
+def _recorded(s, d):
+    """Conflicts with numbers in order of their first fact; every third resolved."""
+    c = conflicts.detect_conflicts(bridge.disputed(_f(s, d)), _e(s, d), _scalar(s))
+    return c.select(F.col("fact_b_id").alias("id"), "subject", "predicate", "fact_a_id", "fact_b_id", F.when(F.col("fact_b_id") % 3 == 0, 5).cast("long").alias("resolved_at"), F.lit(None).cast("string").alias("resolution"))
+
+
+query("unresolved_conflicts", f"{PLAIN}, {CONFLICTS} SELECT fact_b_id AS id, subject FROM conflicts WHERE fact_b_id % 3 <> 0")(lambda s, d: conflicts.unresolved(_recorded(s, d)).select("id", "subject"))
+query("resolve_conflict", f"{PLAIN}, {CONFLICTS} SELECT fact_b_id AS id, CASE WHEN fact_b_id = (SELECT min(fact_b_id) FROM conflicts) THEN 9 WHEN fact_b_id % 3 = 0 THEN 5 ELSE -1 END::BIGINT AS resolved_at, CASE WHEN fact_b_id = (SELECT min(fact_b_id) FROM conflicts) THEN 'prefer:x' ELSE '' END AS resolution FROM conflicts")(
+    lambda s, d: dml.resolve_conflict(_recorded(s, d), _recorded(s, d).agg(F.min("id")).first()[0] or 0, "prefer:x", 9).select("id", F.coalesce("resolved_at", F.lit(-1)).cast("long").alias("resolved_at"), F.coalesce("resolution", F.lit("")).alias("resolution")))
+query("clear_cardinality", f"{PLAIN}, {CONFLICTS} SELECT 'conflicts' AS name, count(*) FILTER (WHERE fact_b_id % 3 = 0) AS n FROM conflicts UNION ALL SELECT 'predicate_cardinality', 0")(
+    lambda s, d: aggregates.summary(**dml.clear_cardinality({"predicate_cardinality": _scalar(s), "conflicts": _recorded(s, d)})))
+query("recommended_side", f"""{PLAIN}, {CONFLICTS}, s AS (SELECT c.fact_a_id, c.fact_b_id, a.confidence AS ca, b.confidence AS cb, a.observed_at AS ta, b.observed_at AS tb FROM conflicts c JOIN open a ON a.id = fact_a_id JOIN open b ON b.id = fact_b_id)
+  SELECT fact_a_id, fact_b_id, CASE WHEN ca > cb THEN 'a' WHEN ca < cb THEN 'b' WHEN ta > tb THEN 'a' WHEN ta < tb THEN 'b' END AS side FROM s""")(
+    lambda s, d: conflicts.conflict_sides(_recorded(s, d), bridge.disputed(_f(s, d))).select("fact_a_id", "fact_b_id", conflicts.recommended_side().alias("side")))
+
+
+def _links(s, d):
+    f = _f(s, d).where("predicate = 'ref:customers'")
+    return f.withColumns({"adapter": F.lit("llm-resolve"), "confidence": F.round(F.col("id") % 11 / 10, 1), "observed_at": F.col("id") % 1000})
+
+
+LINKS = "links AS (SELECT id, round(id % 11 / 10, 1)::FLOAT::DOUBLE AS confidence, id % 1000 AS observed_at FROM facts WHERE predicate = 'ref:customers')"
+query("recent_resolutions", f"{BASE}, {LINKS}, newest AS (SELECT * FROM links ORDER BY observed_at DESC, id DESC LIMIT 100) SELECT id, observed_at FROM newest WHERE confidence > 0 AND confidence < 0.9")(lambda s, d: conflicts.recent_resolutions(_links(s, d)).select("id", "observed_at"))
+query("recent_resolutions_since", f"{BASE}, {LINKS}, newest AS (SELECT * FROM links WHERE observed_at >= 990 ORDER BY observed_at DESC, id DESC LIMIT 1000) SELECT id, observed_at FROM newest WHERE confidence > 0 AND confidence < 0.5")(lambda s, d: conflicts.recent_resolutions(_links(s, d), 990, 1000, 0.5).select("id", "observed_at"))
+query("clear_reconciled", f"{BASE} SELECT count(*) AS n FROM facts WHERE id % 5 <> 0")(
+    lambda s, d: dml.clear_reconciled({"facts": _f(s, d).withColumn("adapter", F.when(F.col("id") % 5 == 0, "alias-reconcile").otherwise("json")), "conflicts": s.createDataFrame([], "fact_a_id long, fact_b_id long")})["facts"].agg(F.count("*").alias("n")))
+
+
+@query("append_facts", "SELECT o_orderkey, (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders UNION ALL SELECT -1, row_number() OVER (ORDER BY c_custkey) FROM customer")
+def q_append(s, d):
+    old = dml.number_on(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.lit(None).cast("timestamp_ntz").alias("o_orderdate"), F.lit(None).cast("long").alias("o_orderkey")), ["c_custkey"], 0)
+    new = s.read.parquet(f"{d}/orders.parquet").select(F.lit(None).cast("long").alias("c_custkey"), "o_orderdate", "o_orderkey")
+    return dml.append_facts(old, new, ["o_orderdate", "o_orderkey"]).select(F.coalesce("o_orderkey", F.lit(-1)).cast("long").alias("o_orderkey"), "id")
+
+
+query("list_entities", f"{BASE} SELECT id FROM entities WHERE entity_type = 'suppliers' AND contains(lower(id), 'p-1')")(lambda s, d: dml.entities_holding(_e(s, d), "suppliers", "P-1"))
+query("entity_vectors", f"{BASE} SELECT 'SUPP-' || vec_id AS id, 'suppliers' AS entity_type FROM embeddings WHERE vec_id % 2 = 0 AND 'SUPP-' || vec_id IN (SELECT id FROM entities)")(
+    lambda s, d: vectors.entity_vectors(_vecs(s, d).select(F.concat(F.lit("SUPP-"), "id").alias("entity_id"), F.col("vec").alias("embedding"), F.when(F.col("id") % 2 == 0, "m").otherwise("n").alias("model")), _e(s, d), "m").select("id", "entity_type"))
+query("safe_names", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.@+=~-]', '_', 'g') AS safe, sha256(html) AS h, CASE WHEN length(html) > 500 THEN left(html, 250) || '…[' || (length(html) - 500) || ' chars elided]…' || right(html, 250) ELSE html END AS short, CASE WHEN length(html) > 80 THEN left(html, 80) || '…' ELSE html END AS cut FROM pages")(
+    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", fx.sanitize_id(F.col("url")).alias("safe"), fx.sha256(F.col("html")).alias("h"), fx.shorten(F.col("html")).alias("short"), fx.truncate(F.col("html"), 80).alias("cut")))
+query("strip_fences", "SELECT doc_id, trim(text) AS plain FROM documents WHERE text NOT LIKE '%```%'")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").where("text NOT LIKE '%```%'").select("doc_id", fx.strip_fences(F.concat(F.lit("```json\n"), F.trim("text"), F.lit("\n```"))).alias("plain")))
 
 
 def queries():

@@ -8,7 +8,6 @@ import pytest
 from factweave.plans import queries
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"reconcile", "mention_refs", "text_candidates", "ground_refs", "learned_aliases", "card_text", "hybrid_candidates", "resolve_stats", "derive_aliases_blocked", "summary"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [n for n in queries.SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_matches_sql(spark, duck, name):
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), duck.sql(queries.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
