@@ -19,32 +19,32 @@ def payloads(facts: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings(term, id, tf), lengths(id, dl)) of docs(id, text)."""
-    t = docs.select("id", word_tokens(F.col("text")).alias("t"))
-    postings = t.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return postings, t.select("id", F.size("t").cast("long").alias("dl"))
+    """(postings(term, id, tf, dl), stats(n, avgdl)) of docs(id, text). A posting
+    carries its document's length, so that a query joins nothing of the index's size."""
+    t = docs.select("id", word_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    postings = t.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return postings.select("term", "id", "tf", "dl"), t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def write_index(docs: DataFrame, path: str) -> None:
     """Postings in order of terms, so that a query's scan skips most row groups."""
-    postings, lengths = index(docs)
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    postings, stats = index(docs)
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, query: str, k: int = 10) -> DataFrame:
+def bm25(postings: DataFrame, stats: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(id, score) of the ``k`` best; any query term will do, ties go to the id."""
     spark = postings.sparkSession
     terms = spark.range(1).select(F.explode(F.array_distinct(word_tokens(F.lit(query)))).alias("term"))
     words = [r["term"] for r in terms.collect()]  # of the query, not of the data
     hit = postings.where(F.col("term").isin(words)) if words else postings.where(F.lit(False))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scored = hit.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(whole))  # df: a row per query term; whole: one row
+    scored = hit.join(F.broadcast(df), "term").join(F.broadcast(stats))  # df: a row per query term; stats: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
