@@ -131,14 +131,21 @@ def _common(keyed: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.nda
     return got["h"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
+def meetings(n):
+    """Of how many shingles at the front two sets are asked to share."""
+    return 1 + n // 10
+
+
 def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b), a < b: among them every pair of ``named(id, dk, th, label)`` of unlike
     labels whose sets have that similarity.
 
     Of n shingles a partner shares ``similarity * n`` or more, so in any one order
-    of all shingles two such sets meet in their first n - ceil(similarity * n) + 1.
-    Common shingles come last in the order. Sizes and the places of the shared
-    shingle bound the overlap; pairs under the bound go.
+    of all shingles the first n - ceil(similarity * n) + m of two such sets have m
+    in common, for every m. With m = ``meetings(n)``, a tenth of the set, two texts
+    that share no more than a passage are not proposed; the smaller set's m is what
+    a pair needs. Common shingles come last in the order. Sizes and the places of a
+    shared shingle bound the overlap, too; pairs under the bound go.
     """
     spark = keyed.sparkSession
     common, times = _common(keyed, words, named.count())
@@ -155,7 +162,7 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     c = np.where(common[at] == h, times[at], 0)
-                h = h[np.lexsort((h, c))[: n - math.ceil(similarity * n - 1e-6) + 1]]
+                h = h[np.lexsort((h, c))[: n - math.ceil(similarity * n - 1e-6) + meetings(n)]]
                 k = len(h)
                 cols = [h, np.full(k, n), np.full(k, i), np.full(k, label), np.arange(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, kinds, strict=True)], [x for x, _ in kinds])
@@ -168,8 +175,9 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
             return (m[i, 3] != m[j, 3]) & enough & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
 
         def out(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            p = np.unique(np.stack([np.minimum(m[i, 2], m[j, 2]), np.maximum(m[i, 2], m[j, 2])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+            pair = np.stack([np.minimum(m[i, 2], m[j, 2]), np.maximum(m[i, 2], m[j, 2]), meetings(np.minimum(m[i, 1], m[j, 1]))], axis=1)
+            p, times = np.unique(pair, axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(p[:, k].copy()) for k in range(3)), pa.array(times.astype(np.int64))], ["a", "b", "need", "times"])
 
         def pairs(m: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.diff(m[:, 0])) + 1
@@ -216,7 +224,8 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
     texts = keyed.join(named, ["dk", "th"]).select("id", "label", "text")
     rows = texts.mapInArrow(prefixes, "h long, n int, id long, label long, pos int")
     dealt = rows.repartition(partitions(spark), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    found = dealt.mapInArrow(search, "a long, b long, need long, times long")
+    return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, segments: int | None = None, limit: int = LIMIT) -> DataFrame:
