@@ -44,30 +44,31 @@ def folded(token: str) -> str:
 _RUN = re.compile(r"(.)\1+")
 
 
-class Odds:
-    """Log-odds by token. A token that training never saw counts as the candidate
-    whose folded form it shares, at ALIKE; all else is 0. What has been looked up
-    is remembered, up to a bound."""
+class Odds(dict):
+    """Log-odds by token, looked up as a dict is. A token that training never saw
+    counts as the candidate whose folded form it shares, at ALIKE; all else is 0.
+    What has been looked up is kept, up to a bound."""
 
     def __init__(self, known: dict[str, float], seen: frozenset[str], most: int = 200_000):
-        self.known, self.seen, self.most, self.memo = known, seen, most, {}
+        super().__init__(known)
+        self.known, self.seen, self.most = known, seen, most
         self.alike: dict[str, float] = {}
         for t, v in known.items():
             k = folded(t)
             if len(k) >= 4:
                 self.alike[k] = max(self.alike.get(k, 0.0), ALIKE * v)
 
-    def __call__(self, token: str) -> float:
-        v = self.memo.get(token)
-        if v is None:
-            v = self.known.get(token, 0.0)
-            if not v and len(token) < 40 and token not in self.seen:
-                v = self.alike.get(folded(token), 0.0)
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[token] = v
+    def __missing__(self, token: str) -> float:
+        v = self.alike.get(folded(token), 0.0) if len(token) < 40 and token not in self.seen else 0.0
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.known)
+        self[token] = v
         return v
 
+    def __reduce__(self):
+        return Odds, (self.known, self.seen, self.most)
+
 
 class Words:
     """Numbers for tokens: a text is held as an array, not as strings."""
@@ -120,7 +121,7 @@ def _chains(texts: list[str | None], odds: Odds):
     words = [tokens(t) or ["\n"] for t in texts]
     lengths = np.array([len(w) for w in words])
     n = int(lengths.sum())
-    own = np.fromiter((odds(t) for w in words for t in w), dtype=np.float64, count=n)
+    own = np.fromiter((odds[t] for w in words for t in w), dtype=np.float64, count=n)
     end = np.fromiter((t == "\n" for w in words for t in w), dtype=np.float64, count=n)
     return _features(own, end, lengths), lengths
 

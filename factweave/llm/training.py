@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Characters that a sample may hold, and how much longer than the mean of a full
 #: sample one text may be.
-CHARS, SPREAD = 60_000_000, 10
+CHARS, SPREAD = 60_000_000, 2
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, hel
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     short = F.length(F.coalesce("text", F.lit(""))) <= max(1, SPREAD * chars // max(1, rows))
     got, held = [], 0
-    for r in docs.select("doc_id", "text").where(short).join(picked, "doc_id").select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+    rows_ = docs.select("doc_id", "text").where(short).join(picked, "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).collect()  # SPREAD times ``chars`` at most
+    for r in sorted(rows_, key=lambda r: (r["h"], r["doc_id"], r["text"] or "")):
         held += len(r["text"] or "")
         if held > chars:
             break

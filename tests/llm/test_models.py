@@ -139,5 +139,5 @@ def test_sample_is_bounded_in_characters(spark):
 
     docs = spark.createDataFrame([(i, "x" * (10 if i else 5000)) for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
-    got = labelled_sample(docs, labels, "quality", 4, 2, 100, 200)
-    assert 0 < len(got) <= 20 and {len(t) for t, _ in got} == {10}
+    got = labelled_sample(docs, labels, "quality", 4, 2, 50, 250)
+    assert 0 < len(got) <= 25 and {len(t) for t, _ in got} == {10}
