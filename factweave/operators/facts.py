@@ -40,11 +40,6 @@ def emit_facts(df: DataFrame, entity_type: str, id_column: str, fks: dict[str, s
     )
 
 
-def first_type(entities: DataFrame, order: str = "seq") -> DataFrame:
-    """(id, entity_type) with the first type by ``order`` for an id seen twice."""
-    return entities.groupBy("id").agg(F.min_by("entity_type", order).alias("entity_type"))
-
-
 def facts_for_subject(facts: DataFrame, subject: str) -> DataFrame:
     return facts.where(F.col("subject") == subject).orderBy("predicate", "id")
 

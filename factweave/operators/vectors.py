@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, display, truncate
@@ -56,6 +57,26 @@ def embed_cards(cards: DataFrame, client, model: str, created_at: int, batch: in
     return cards.select("id", "card", "card_hash").mapInPandas(run, "entity_id string, embedding array<float>, model string, card_hash string, created_at long")
 
 
+def from_blob(blob: Column) -> Column:
+    """A vector from little-endian single-precision bytes; null for null."""
+
+    @F.pandas_udf("array<float>")
+    def read(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return read(blob)
+
+
+def to_blob(vec: Column) -> Column:
+    """The bytes that ``from_blob`` reads."""
+
+    @F.pandas_udf("binary")
+    def write(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return write(vec)
+
+
 def embed_new_sections(sections: DataFrame, cache: DataFrame, client, model: str, created_at: int, batch: int = 64) -> DataFrame:
     """Rows of ``section_embeddings`` for the texts of ``sections(section, text)``
     that it lacks for that model; equal texts are embedded once."""

@@ -33,6 +33,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, registry: sources.Registry | None = None):
         self._kept: list[DataFrame] = []
         self._graph: tuple[int, DataFrame] | None = None
+        #: Counts of the last ingestion (files by status), classification, embedding, resolution or extraction.
+        self.stats: dict[str, int] = {}
         self.usage: dict[str, int] = {}
         self.spark, self.store, self.registry = spark, Store(spark, root), registry or sources.default_registry()
 
@@ -60,7 +62,8 @@ class Engine:
         version, old = self.store.read()
         status = self._keep(dml.delta_status(incoming, old["documents"]))
         stale, new = status.where("status = 'stale'"), status.where("status <> 'cached'")
-        if new.isEmpty():
+        self.stats = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        if not self.stats.keys() - {"cached"}:
             return found
         docs = dml.number_on(incoming.join(new.select("path"), "path", "left_semi"), ["path"], dml.top_id(old["documents"]))
         docs = self._keep(docs.withColumn("ingested_at", F.lit(observed_at).cast("long")))
@@ -70,7 +73,7 @@ class Engine:
         facts = dml.numbered(old["facts"], cells.where("predicate IS NOT NULL").drop("entity_type"), ["path", "pos", "predicate"])
         append = {"documents": docs, "entities": dml.new_rows(old["entities"], seen, ["id"], "seq"), "facts": facts}
         changed: dict[str, DataFrame] = {}
-        if not stale.isEmpty():
+        if self.stats.get("stale"):
             left = dml.cascade_delete(old, stale)
             changed = {k: left[k] for k in ("documents", "facts", "conflicts")}
             changed |= {k: changed[k].unionByName(append.pop(k).select(*changed[k].columns)) for k in ("documents", "facts")}
@@ -95,6 +98,25 @@ class Engine:
         bare = r.select("path", "pos", "subject", F.col("schema").alias("entity_type"), F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("object_json"), "document_id", "adapter")
         return base.unionByName(bare).withColumns({"confidence": F.lit(1.0), "observed_at": F.lit(observed_at).cast("long"), "locator": F.lit(None).cast("string")})
 
+    def sections(self, folder: str, options: sources.WalkOptions = sources.WalkOptions(), min_chars: int = 200, min_ratio: float = 0.5) -> DataFrame:
+        """What ``extract`` is to read in a folder: (section, parent_subject,
+        parent_type, field, text, locator) of the long values of records' text
+        fields, and of text sections under a ``document`` parent."""
+        items = sources.walk(self.spark, folder, self.registry, options)
+        recs = sources.records(items)
+        known = recs.join(discovery.discover_schemas(recs).where("id_column IS NOT NULL").select("path", "id_column"), "path")
+        cells = known.select(
+            "path", "pos", F.col("schema").alias("parent_type"), "id_column", value_to_string(F.element_at("fields", F.col("id_column"))).alias("parent_subject"), F.explode("fields").alias("field", "obj")
+        ).withColumn("text", string_only(F.col("obj"))).where("trim(text) <> '' AND field <> id_column")
+        long = (F.length(F.trim("text")) >= min_chars).cast("double")
+        fields = cells.groupBy("path", "field").agg(F.avg(long).alias("ratio")).where(F.col("ratio") >= min_ratio).select("path", "field")
+        jobs = cells.where(F.length(F.trim("text")) >= min_chars).join(fields, ["path", "field"]).select(
+            F.concat("path", F.lit("#"), "pos", F.lit("/"), "field").alias("section"), "parent_subject", "parent_type", "field", "text",
+            F.concat("id_column", F.lit("="), "parent_subject", F.lit("/"), "field").alias("locator"),
+        )
+        whole = fa.section_jobs(sources.sections(items)).withColumn("section", F.concat("parent_subject", F.lit("#"), "field"))
+        return jobs.unionByName(whole.select(*jobs.columns))
+
     # -- derivation ----------------------------------------------------------
 
     def alias_index(self) -> int:
@@ -127,6 +149,7 @@ class Engine:
         cards = vectors.stale_cards(vectors.card_text(t["facts"], t["entities"], t["entity_aliases"]), t["entity_embeddings"], model, force, limit)
         new = self._keep(vectors.embed_cards(cards, client, model, at))
         n = new.count()
+        self.stats = {"embedded": n}
         self.store.commit(version, entity_embeddings=dml.keep_latest(t["entity_embeddings"], new, KEYS["entity_embeddings"], "created_at"))
         return n
 
@@ -137,6 +160,7 @@ class Engine:
         t = dml.clear_cardinality(old)
         evidence = conflicts.multivalue_evidence(t["facts"], t["entities"], t["predicate_cardinality"])
         decided = self._keep(extraction.classify(evidence, client).withColumns({"decided_by": F.lit("model"), "decided_at": F.lit(at).cast("long")}))
+        self.stats = {r["cardinality"]: r["n"] for r in decided.groupBy("cardinality").agg(F.count("*").alias("n")).collect()}
         found = conflicts.detect_conflicts(t["facts"], t["entities"], decided, t["conflicts"])
         new = found.withColumns({"resolved_at": F.lit(None).cast("long"), "resolution": F.lit(None).cast("string")})
         self.store.commit(version, predicate_cardinality=decided, conflicts=dml.append_facts(t["conflicts"], new, ["subject", "predicate", "fact_a_id", "fact_b_id"]))
@@ -148,6 +172,7 @@ class Engine:
         version, t = self.store.read()
         done = self._keep(conflicts.resolve(t["conflicts"].where("resolved_at IS NULL"), t["facts"], config))
         stats = self.spark.createDataFrame(done.groupBy("decision").count().collect(), "decision string, n long")
+        self.stats = {r["decision"]: r["n"] for r in stats.collect()}
         put = done.select("id", "preferred")
         new = t["conflicts"].join(put, "id", "left").withColumns({
             "resolved_at": F.when(F.col("preferred").isNotNull(), F.lit(at)).otherwise(F.col("resolved_at")), "resolution": F.coalesce("preferred", "resolution"),

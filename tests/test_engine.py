@@ -50,9 +50,11 @@ def test_ingest_to_answers(spark, folder, tmp_path):
     facts = {(r["subject"], r["predicate"]): r["object_json"] for r in e.store.table("facts").collect()}
     assert facts[("T-1", "ref:employees")] == '"emp_0"' and facts[("emp_0", "level")] == "1.0" and facts[("emp_0", "team")] == "null" and facts[("T-1", "body")] == '""'
     assert {r["entity_type"]: r["n"] for r in e.entity_counts().collect()} == {"employees": 3, "tickets": 2, "lines": 2}
+    assert e.stats == {"fresh": 3}
     n = e.store.table("facts").count()
     before = e.store.versions()
     e.ingest(str(folder), 200)
+    assert e.stats == {"cached": 3}
     assert e.store.versions() == before and e.store.table("facts").count() == n
 
     assert e.alias_index() > 0
@@ -114,6 +116,16 @@ class Counting:
         return self.answer
 
 
+def test_sections_to_extract(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "notes.json").write_text(json.dumps([{"id": "n1", "body": "x" * 300, "tag": "a"}, {"id": "n2", "body": "y" * 250, "tag": "b"}, {"id": "n3", "body": "short", "tag": "c"}]))
+    (d / "plain.txt").write_text("a text")
+    e = Engine(spark, str(tmp_path / "s"))
+    got = {(r["parent_type"], r["parent_subject"].rsplit("/", 1)[-1], r["field"], r["locator"], len(r["text"])) for r in e.sections(str(d)).collect()}
+    assert got == {("notes", "n1", "body", "id=n1/body", 300), ("notes", "n2", "body", "id=n2/body", 250), ("document", "plain.txt", "body", None, 6)}
+
+
 def test_conflicts_and_review(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "s"))
     facts = spark.createDataFrame(

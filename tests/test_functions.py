@@ -174,3 +174,10 @@ def test_adapters():
     assert files.canonical({"b": files.Raw("1.0"), "a": [None, True, "é"]}) == '{"a":[null,true,"é"],"b":1.0}'
     pages = files.pdf_reader(lambda b: "one\f \fthree")
     assert [x[1][2] for x in pages(b"", "x.pdf")] == ["page:1", "page:3"]
+
+
+def test_vectors_as_bytes(spark):
+    v = [0.0, 1.5, -2.25, 1.0000000116860974e-07]
+    df = spark.createDataFrame([(v,), (None,)], "v array<float>").withColumn("b", vectors.to_blob(F.col("v"))).withColumn("w", vectors.from_blob(F.col("b")))
+    rows = df.collect()
+    assert rows[0]["w"] == rows[0]["v"] and bytes(rows[0]["b"])[4:8] == b"\0\0\xc0?" and rows[1]["w"] is None
