@@ -12,8 +12,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most bytes of a block of the hash set; the benchmark is dealt into as many
 #: blocks as that takes, and a block is broadcast.
 BLOCK = 64 << 20
-#: Bits of a hash that are looked up before a window is taken to the set. Decides the work only.
-BITS = 20
+#: Most bits of a hash that are looked up before a window is taken to the set. They
+#: decide the work only: 2 ** BITS bytes at most go into the plan.
+BITS = 17
 
 
 def words_of(text: Column) -> Column:
@@ -83,15 +84,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 2
 
     def hits(b: int) -> DataFrame:
         mine = sets.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else sets
-        # Which hash prefixes occur: a table of one size, whatever the benchmark's.
-        slots = bytearray(1 << BITS)
-        for r in mine.select(F.expr(f"shiftrightunsigned(h, {64 - BITS})").alias("p")).distinct().collect():
+        # Which hash prefixes occur: some eight slots for an entry, in a table of bounded size.
+        bits = min(BITS, max(10, (8 * mine.count()).bit_length()))
+        slots = bytearray(1 << bits)
+        for r in mine.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("p")).distinct().collect():
             slots[r["p"]] = 1
         seen = F.lit(slots)
 
         def windows(k: int) -> Column:
             def known(h: Column) -> Column:
-                at = F.shiftrightunsigned(h, 64 - BITS) + 1
+                at = F.shiftrightunsigned(h, 64 - bits) + 1
                 return F.substr(seen, at.cast("int"), F.lit(1)) == F.lit(bytearray(b"\1"))
 
             def found_in(hs: Column) -> Column:
