@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, display, truncate
+from ..functions.text import display, truncate
+from . import blocks
 
 
 def card_text(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -99,28 +101,67 @@ def entity_vectors(embeddings: DataFrame, entities: DataFrame, model: str) -> Da
     return v.join(entities.select("id", "entity_type"), "id").select("id", "entity_type", "vec")
 
 
-#: Queries in a block, and hash classes of the vectors that a block meets one by one.
-BLOCK, CLASSES = 256, 64
+#: Rows in a block of vectors and in one of queries, at most.
+BLOCK, QUERIES = 16_384, 2_048
+
+
+def _units(rows: list, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their lengths, and the lengths of those that have any."""
+    m = blocks.matrix(rows, lens)
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+    with np.errstate(invalid="ignore"):
+        m /= np.where(norm > 0, norm, 1)[:, None]
+    return m, np.where(norm != 0, lens, -1)
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) by cosine, for a stated query set against all
-    ``vectors(id, vec)``; ties go to the smaller id, scores that aren't finite are
-    dropped, vectors of unequal length have score 0.
-
-    Queries are packed in blocks of about BLOCK; each block is sent to each of
-    CLASSES hash classes of the vectors, so that neither side is held whole
-    anywhere. A class and block give at most ``k`` rows a query to the final
-    ranking."""
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qv")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # about BLOCK queries a row
-    packed = packed.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
-    v = vectors.withColumn("class", F.pmod(F.xxhash64("id"), F.lit(CLASSES)).cast("int"))
-    pairs = v.join(packed, "class").select("id", "vec", F.explode("qs").alias("q")).select("id", "q.query_id", F.round(cosine(F.col("vec"), F.col("q.qv")), 6).alias("score"))
+    ``vectors(id, vec)``; scores are rounded to six places, ties go to the smaller
+    id, scores that aren't finite are dropped. Vectors of unequal length have score
+    0, and so have null, empty and zero ones and those with null components.
+
+    Queries and vectors meet in blocks dealt in a grid of four cells a core, as
+    matrix products; a block of queries keeps its ``k`` best through a cell, and
+    only those go to the final ranking."""
+    whole = lambda c: F.when(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()), F.col(c))
+    q, v = queries.select(F.col("id"), whole("vec").alias("vec")), vectors.select(F.col("id"), whole("vec").alias("vec"))
+    cells = 4 * v.sparkSession.sparkContext.defaultParallelism
+    n_q, n_v = q.count(), v.count()
+    (rows_q, parts_q), (rows_v, parts_v) = blocks.sizes(n_q, QUERIES, 1), blocks.sizes(n_v, BLOCK, min(cells, -(-n_q * n_v // 1_000_000)))
+    pairs = blocks.paired(blocks.packed(q, rows_q, parts_q), blocks.packed(v, rows_v, parts_v), parts_q, parts_v, cells)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([qid.take(pa.array(held[0])), pa.array(held[1], kind), pa.array(held[2])], names=["query_id", "id", "score"])
+
+        for b in batches:
+            kind = b.schema.field("_id").type.value_type
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                block = row.column("block")[0].as_py()
+                if block != at:
+                    if held is not None:
+                        yield done()
+                    at, held, qid = block, None, row.column("id").flatten()
+                    uq, nq = _units(row.column("vecs")[0].as_py(), row.column("lens").flatten().to_numpy())
+                uv, nv = _units(row.column("_vecs")[0].as_py(), row.column("_lens").flatten().to_numpy())
+                wide = max(uq.shape[1], uv.shape[1])
+                s = np.where((nq[:, None] == nv[None, :]) & (nq > 0)[:, None], np.round(blocks.widened(uq, wide) @ blocks.widened(uv, wide).T, 6), 0.0)
+                s[~np.isfinite(s)] = -np.inf
+                # all that tie with the k-th may be among the best
+                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)] if s.shape[1] else np.zeros(len(s))
+                owner, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                ids = row.column("_id").flatten().to_numpy(zero_copy_only=False)
+                held = blocks.best(held, owner, ids[col], s[owner, col], k)
+        if held is not None:
+            yield done()
+
+    kinds = (queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
+    found = pairs.mapInArrow(rank, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.where(~F.isnan("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def hybrid_candidates(by_alias: DataFrame, by_vector: DataFrame, entities: DataFrame, most: int) -> DataFrame:
