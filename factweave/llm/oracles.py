@@ -23,3 +23,28 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
 FROM m
 """
+
+#: The crc32 is taken byte by byte from its table; runs are of code points under 256.
+OP13_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+spelt AS (SELECT doc_id, run, count(*) AS k, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: x::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM spelt, tab),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.v = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.v = w.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+top_near AS (SELECT word, n_near, top, (SELECT min(other) FROM near WHERE near.word = best.word AND near.other_n = best.top) AS other FROM best),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.top >= 10 * w.n THEN f.other END AS form, CASE WHEN f.top >= 10 * w.n THEN f.top END AS form_n FROM words w LEFT JOIN top_near f USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM chain WHERE chain.word = forms.word) AS root, n, n_near, form_n FROM forms
+"""

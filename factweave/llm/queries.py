@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, oracles, packing, pii, pipeline, quality, simhash, suffix, topk, toxicity, warc
+from . import decontaminate, html, lines, negatives, oracles, packing, pii, pipeline, quality, simhash, spelling, suffix, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_toxicity": toxicity.op9,
         "op10_warc": warc.op10,
+        "op11_negatives": negatives.op11,
+        "op12_html": html.op12,
+        "op13_spelling": spelling.op13,
         "pipeline": pipeline.run,
     }
 
@@ -24,4 +27,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.OP4_SQL, "op5_lines": oracles.OP5_SQL, "op6_topk": topk.OP6_SQL, "op10_warc": oracles.OP10_SQL,
+        "op11_negatives": negatives.OP11_SQL, "op13_spelling": oracles.OP13_SQL,
     }
