@@ -234,7 +234,7 @@ class Tree:
             at, p = len(nodes), float(y[rows].mean()) if len(rows) else 0.5
             nodes.append([-1, 0.0, at, at, p])
             best = (1e-9, -1, 0.0)
-            if left and 0 < p < 1:
+            if left and 0 < p < 1 and len(rows) > 1:
                 for f in range(x.shape[1]):
                     order = rows[np.argsort(x[rows, f], kind="stable")]
                     v, ones = x[order, f], np.cumsum(y[order])

@@ -38,9 +38,11 @@ class VpTree:
     the largest norm: with a zero added to q, d(q, x)^2 = |q|^2 + M^2 - 2 q.x, so a
     score is a distance and a window of scores an annulus.
 
-    Rows are in the order of the leaves. Node j's children are 2j+1 (the half nearer
-    to its vantage point) and 2j+2; ``low`` and ``high`` hold a node's range of
-    distances to its parent's vantage point, ``starts`` where leaves begin."""
+    Rows are in the order of the leaves, which begin at ``starts``. Node j's children
+    are 2j+1 (the half nearer to its vantage point) and 2j+2, the last nodes being the
+    leaves, whose vantage point is the row nearest to their middle; ``low`` and
+    ``high`` hold for each leaf the range of its rows' distances to the vantage points
+    from the root on to its own: narrower than the halves that nodes were cut in."""
 
     x: np.ndarray
     top: float
@@ -56,47 +58,51 @@ class VpTree:
         top = float(square.max(initial=0))
         far = np.column_stack([x, np.sqrt(np.maximum(top - square, 0))])
         depth = max(0, int(np.ceil(np.log2(max(1, len(x)) / leaf))))
-        inner, nodes = 2**depth - 1, 2 ** (depth + 1) - 1
-        vantage, low, high = np.zeros(inner, np.int64), np.zeros(nodes), np.zeros(nodes)
-        parts = [np.arange(len(x))]
-        for j in range(inner):
-            rows = parts[j]
-            d = np.zeros(0)
+        inner = 2**depth - 1
+        vantage, parts = np.zeros(2 * inner + 1, np.int64), [np.arange(len(x))]
+        for j in range(2 * inner + 1):
+            rows, by = parts[j], np.zeros(0, np.int64)
             if len(rows):
-                middle = far[rows].mean(0)  # the row farthest from the middle parts the rest well
-                vantage[j] = rows[np.argmax(((far[rows] - middle) ** 2).sum(1))]
-                d = np.sqrt(((far[rows] - far[vantage[j]]) ** 2).sum(1))
-            by = np.argsort(d, kind="stable")
-            for child, half in ((2 * j + 1, by[: (len(by) + 1) // 2]), (2 * j + 2, by[(len(by) + 1) // 2 :])):
-                parts.append(rows[half])
-                low[child], high[child] = (d[half].min(), d[half].max()) if len(half) else (np.inf, -np.inf)
+                off = ((far[rows] - far[rows].mean(0)) ** 2).sum(1)
+                vantage[j] = rows[np.argmax(off) if j < inner else np.argmin(off)]  # the outermost row parts the others well
+                by = np.argsort(((far[rows] - far[vantage[j]]) ** 2).sum(1), kind="stable")
+            if j < inner:
+                parts += [rows[by[: (len(by) + 1) // 2]], rows[by[(len(by) + 1) // 2 :]]]
         leaves = parts[inner:]
+        low, high = np.full((len(leaves), depth + 1), np.inf), np.full((len(leaves), depth + 1), -np.inf)
+        for n, rows in enumerate(leaves):
+            for t, j in enumerate(_above(depth)[n]):
+                d = np.sqrt(((far[rows] - far[vantage[j]]) ** 2).sum(1))
+                low[n, t], high[n, t] = d.min(initial=np.inf), d.max(initial=-np.inf)
         order = np.concatenate(leaves)
-        starts = np.cumsum([0, *map(len, leaves)])
-        back = np.argsort(order)
-        return cls(x[order], top, back[vantage], low, high, starts, order)
+        return cls(x[order], top, np.argsort(order)[vantage], low, high, np.cumsum([0, *map(len, leaves)]), order)
 
     def reach(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of ``q`` and leaf the least and the most that a score can be.
-        An empty leaf can have none; beyond the arithmetic's range it is anything."""
-        square, inner = np.einsum("ij,ij->i", q, q), len(self.vantage)
-        size = square + self.top
-        near, far = np.zeros((len(q), len(self.low))), np.full((len(q), len(self.low)), np.inf)
-        d = np.sqrt(np.maximum(size[:, None] - 2 * q @ self.x[self.vantage].T, 0))
+        """For each row of ``q`` and leaf the least and the most that a score can be;
+        anything beyond the arithmetic's range."""
+        size = np.einsum("ij,ij->i", q, q) + self.top
+        leaves, depth = self.low.shape
+        near, far = np.zeros((len(q), leaves)), np.full((len(q), leaves), np.inf)
+        d = np.sqrt(np.maximum(size[:, None] - 2 * q @ self.x[self.vantage].T, 0)) if len(self.x) else near
         error = 1e-7 * np.sqrt(size)[:, None]  # of a root of a difference
-        for child in range(1, len(self.low)):
-            j = (child - 1) // 2
-            dj = d[:, j : j + 1]
-            near[:, child : child + 1] = np.maximum(near[:, j : j + 1], np.maximum(self.low[child] - dj, dj - self.high[child]) - error)
-            far[:, child : child + 1] = np.minimum(far[:, j : j + 1], dj + self.high[child] + error)
+        for t in range(depth):
+            dt = d[:, _above(depth - 1)[:, t]]
+            near = np.maximum(near, np.maximum(self.low[:, t] - dt, dt - self.high[:, t]) - error)
+            far = np.minimum(far, dt + self.high[:, t] + error)
         room = 1e-9 * size[:, None] + 1
         with np.errstate(invalid="ignore"):
-            least, most = (size[:, None] - far[:, inner:] ** 2) / 2 - room, (size[:, None] - near[:, inner:] ** 2) / 2 + room
+            least, most = (size[:, None] - far**2) / 2 - room, (size[:, None] - near**2) / 2 + room
         wild = ~(size < 1e30)
         least[wild], most[wild] = -np.inf, np.inf
         return least, most
 
 
+def _above(depth: int) -> np.ndarray:
+    """The nodes from the root to each leaf."""
+    leaf = np.arange(2**depth)[:, None] + 2**depth
+    return (leaf >> np.arange(depth, -1, -1)[None, :]) - 1
+
+
 class Search:
     """Incremental nearest-first traversals for the rows of ``q``; a leaf's scores
     are computed once for each row, however many windows look at it."""
@@ -161,7 +167,7 @@ def _trees(rows: DataFrame, size: int, parts: int) -> DataFrame:
                 kind = "<f4" if np.abs(t.x).max(initial=0) < 2**24 else "<f8"
                 yield pa.RecordBatch.from_pydict({
                     "block": row.column("block"), "x": [t.x.astype(kind).tobytes()], "dims": pa.array([t.x.shape[1]], pa.int32()), "top": [t.top],
-                    "id": take("id"), "label": take("label"), "vantage": pa.array([t.vantage]), "low": pa.array([t.low]), "high": pa.array([t.high]), "starts": pa.array([t.starts]),
+                    "id": take("id"), "label": take("label"), "vantage": pa.array([t.vantage]), "low": pa.array([t.low.ravel()]), "high": pa.array([t.high.ravel()]), "starts": pa.array([t.starts]),
                 })
 
     schema = "block long, x binary, dims int, top double, id array<long>, label array<long>, vantage array<long>, low array<double>, high array<double>, starts array<long>"
@@ -180,7 +186,9 @@ def _search(anchors: DataFrame, trees: DataFrame, n: tuple[int, int], cells: int
         x, dims = row.column("_x")[0].as_py(), row.column("_dims")[0].as_py()
         x = np.frombuffer(x, "<f4" if len(x) == 4 * len(ids) * dims else "<f8").astype(np.float64).reshape(len(ids), dims)
         wide = max(q.shape[1], dims)
-        tree = VpTree(blocks.widened(x, wide), row.column("_top")[0].as_py(), flat("_vantage"), flat("_low"), flat("_high"), flat("_starts"), np.arange(len(ids)))
+        starts = flat("_starts")
+        low, high = (flat(c).reshape(len(starts) - 1, -1) for c in ("_low", "_high"))
+        tree = VpTree(blocks.widened(x, wide), row.column("_top")[0].as_py(), flat("_vantage"), low, high, starts, np.arange(len(ids)))
         search = Search(tree, blocks.widened(q, wide), ids)
         wins = row.column("wins")[0].as_py() if share else None
         for j in range(len(q)):
