@@ -44,16 +44,18 @@ class Engine:
 
     # -- ingestion -----------------------------------------------------------
 
-    def ingest(self, folder: str, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
+    def ingest(self, folder: str, observed_at: int = 0, dry_run: bool = False, options: sources.WalkOptions = sources.WalkOptions()) -> DataFrame:
         """Ingest a folder; the discovered schemas (path, schema, id_column)."""
-        files = sources.listed(self.spark, folder, sources.WalkOptions())
-        return self.ingest_files(files, observed_at, dry_run)
+        return self.ingest_items(sources.walk(self.spark, folder, self.registry, options), observed_at, dry_run)
 
-    @releasing
     def ingest_files(self, files: DataFrame, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
+        """As ``ingest``, of ``binaryFile`` rows, each read whole."""
+        return self.ingest_items(sources.parse(files, self.registry), observed_at, dry_run)
+
+    @releasing
+    def ingest_items(self, items: DataFrame, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
         """Files known by path and hash are passed over; what a changed file said
         before is removed. Without changed files the tables are appended to."""
-        items = sources.parse(files, self.registry)
         found = discovery.discover_schemas(sources.records(items))
         if dry_run:
             return found

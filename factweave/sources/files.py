@@ -11,12 +11,15 @@ import io
 import json
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import splits
+
 SNIFF = 256
 #: Files of a folder's root that name what is to be passed over.
 IGNORE_FILES = (".gitignore", ".ignore")
@@ -41,7 +44,8 @@ def canonical(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def _load(text: str):
+def parsed_json(text: str):
+    """A JSON value, numbers as they were written."""
     return json.loads(text, parse_int=Raw, parse_float=Raw, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
 
 
@@ -55,9 +59,9 @@ def read_json(content: bytes, path: str) -> Iterator[tuple]:
     text = content.decode("utf-8-sig")
     if path.lower().endswith((".jsonl", ".ndjson")):
         # LF or CRLF: other line separators may stand inside a JSON string
-        values = [_load(line) for line in text.split("\n") if line.strip()]
+        values = [parsed_json(line) for line in text.split("\n") if line.strip()]
     else:
-        value = _load(text)
+        value = parsed_json(text)
         values = value if isinstance(value, list) else [value]
     for v in values:
         yield "r", _as_record(v)
@@ -97,11 +101,13 @@ def pdf_reader(extract: Callable[[bytes], str] | None) -> Callable:
 
 @dataclass
 class Adapter:
-    """``match`` tells, from the path and first bytes, strong (2), weak (1) or 0."""
+    """``match`` tells, from the path and first bytes, strong (2), weak (1) or 0;
+    ``ranges`` how a large file can be read in ranges (a form of ``splits``), if so."""
 
     name: str
     match: Callable[[str, bytes], int]
     read: Callable[[bytes, str], Iterator[tuple]]
+    ranges: Callable[[str, bytes], str | None] = lambda path, head: None
 
 
 def _by_ext(*exts: str) -> Callable[[str, bytes], int]:
@@ -129,7 +135,7 @@ def default_registry(extract_pdf: Callable[[bytes], str] | None = None) -> Regis
         return int("." not in path.rsplit("/", 1)[-1] and head.lstrip()[:1] in (b"{", b"[")) or int(head.lstrip()[:1] in (b"{", b"["))
 
     return Registry([
-        Adapter("json", json_match, read_json), Adapter("csv", _by_ext(".csv", ".tsv"), read_csv), Adapter("txt", _by_ext(".txt", ".md", ".log"), read_text),
+        Adapter("json", json_match, read_json, splits.form_of), Adapter("csv", _by_ext(".csv", ".tsv"), read_csv, splits.form_of), Adapter("txt", _by_ext(".txt", ".md", ".log"), read_text),
         Adapter("pdf", lambda path, head: 2 * (path.lower().endswith(".pdf") or head.startswith(b"%PDF-")), pdf_reader(extract_pdf)),
     ])
 
@@ -175,13 +181,15 @@ def parse(files: DataFrame, registry: Registry, size: int = SNIFF) -> DataFrame:
 class WalkOptions:
     """``glob`` limits file names; ``ignore`` adds patterns to those of the root's
     ignore files, which ``ignore_files`` turns off; ``sniff`` is how many bytes
-    adapters see; hidden files and folders need ``hidden``."""
+    adapters see; hidden files and folders need ``hidden``; CSV, TSV, JSON lines and
+    JSON arrays of more than ``split_over`` bytes are read in ranges."""
 
     glob: str | None = None
     ignore: tuple[str, ...] = ()
     ignore_files: bool = True
     hidden: bool = False
     sniff: int = SNIFF
+    split_over: int = 128 << 20
 
 
 def ignore_regex(pattern: str) -> str | None:
@@ -231,9 +239,53 @@ def listed(spark: SparkSession, root: str, options: WalkOptions = WalkOptions())
     return files
 
 
+def _heads(spark: SparkSession, paths: list[str], size: int) -> list[bytes]:
+    """The first bytes of each file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(path: str) -> bytes:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            return bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(head, paths))
+
+
+#: Bytes that one row can hold.
+ROW = (1 << 31) - 64
+
+
 def walk(spark: SparkSession, root: str, registry: Registry | None = None, options: WalkOptions = WalkOptions()) -> DataFrame:
-    """All items of the files under ``root``."""
-    return parse(listed(spark, root, options), registry or default_registry(), options.sniff)
+    """All items of the files under ``root``.
+
+    Large files that can be cut are read in ranges, by as many tasks as they have
+    (their names and first bytes come to the driver); the others each by one task,
+    and of those one of over 2 GB is an error row."""
+    registry, files = registry or default_registry(), listed(spark, root, options)
+    large = files.where(F.col("length") > options.split_over).select("path", F.col("_metadata.file_path").alias("named"), "length").collect()
+    cut, over = [], []
+    for r, head in zip(large, _heads(spark, [r["path"] for r in large], options.sniff), strict=True):
+        adapter = registry.pick(r["path"], head)
+        form = adapter.ranges(r["path"], head) if adapter else None
+        if form:
+            cut.append((r["path"], r["named"], form, r["length"], adapter.name))
+        elif adapter and r["length"] > ROW:
+            over.append((r["path"], adapter.name))
+    whole = files.where((F.col("length") <= ROW) & ~F.col("path").isin([c[0] for c in cut])) if large else files
+    items = parse(whole, registry, options.sniff)
+    nothing = lambda *names: {n: F.lit(None).cast("string") for n in names}
+    if cut:
+        names = spark.createDataFrame([(c[0], c[4]) for c in cut], "path string, adapter string")
+        ranged = splits.read(spark, [c[:4] for c in cut]).join(F.broadcast(names), "path")
+        items = items.unionByName(ranged.withColumns(nothing("heading", "text", "locator")).select(*items.columns))
+    if over:
+        bad = spark.createDataFrame(over, "path string, adapter string").withColumns(nothing("content_hash", "fields", "heading", "text", "locator"))
+        items = items.unionByName(bad.withColumns({"kind": F.lit("e"), "pos": F.lit(0).cast("long"), "error": F.lit("ValueError: over 2 GB and not to be read in ranges")}).select(*items.columns))
+    return items
 
 
 def records(items: DataFrame) -> DataFrame:
