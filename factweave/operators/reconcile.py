@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import f32, json_string, mention_tokens, ngrams, normalize_alias, string_only
+from ..functions.text import f32, json_string, normalize_alias, string_only
 from .aliases import with_type
+from .mentions import spotted
 
 LONG = 60
 
@@ -53,10 +54,9 @@ def mention_refs(facts: DataFrame, entities: DataFrame, aliases: DataFrame, disc
     index = with_type(aliases, entities)
     sole = index.groupBy(F.col("alias_norm").alias("norm")).agg(F.count("*").alias("n"), F.min(F.struct("entity_id", "entity_type", "confidence")).alias("h")).where("n = 1")
     sole = sole.where((F.col("h.confidence") >= least_conf) & (F.length("norm") >= least_chars)).select("norm", "h.entity_id", "h.entity_type", "h.confidence")
-    texts = _values(facts, entities).where(F.length("v") >= LONG).withColumn("t", mention_tokens(F.col("v")))
-    grams = texts.select("id", "subject", "predicate", F.explode(ngrams("t")).alias("g")).withColumn("norm", normalize_alias(F.col("g.gram")))
-    hits = grams.join(sole, "norm").where("entity_id <> subject")
-    first = F.row_number().over(Window.partitionBy("id", "entity_type", "entity_id").orderBy(F.desc("g.n"), "g.pos"))
+    texts = _values(facts, entities).where(F.length("v") >= LONG).select("id", "subject", "predicate", F.col("v").alias("text"))
+    hits = spotted(texts, sole, ["id", "subject", "predicate"]).join(sole, "norm").where("entity_id <> subject")
+    first = F.row_number().over(Window.partitionBy("id", "entity_type", "entity_id").orderBy(F.desc("n"), "pos"))
     return hits.withColumn("rn", first).where("rn = 1").select(
         "id", "subject", F.concat(F.lit("ref:"), "entity_type").alias("predicate"), json_string(F.col("entity_id")).alias("object_json"),
         f32(F.col("confidence").cast("float") * F.lit(discount).cast("float")).alias("confidence"), F.concat(F.lit("mention:"), "predicate").alias("locator"),
@@ -90,12 +90,15 @@ def reconcile_stats(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -
 
 def text_candidates(sections: DataFrame, entities: DataFrame, aliases: DataFrame, most: int = 200) -> DataFrame:
     """Entities that each text of ``sections(section, text)`` may name: all owners
-    of a matching n-gram, longest first, then by place, at most ``most``."""
-    grams = sections.select("section", mention_tokens(F.col("text")).alias("t")).select("section", F.explode(ngrams("t")).alias("g"))
-    grams = grams.withColumn("norm", normalize_alias(F.col("g.gram"))).where(F.octet_length("norm") >= 2)
-    index = with_type(aliases, entities).select(F.col("alias_norm").alias("norm"), "entity_id", "entity_type", "confidence")
-    hits = grams.join(index, "norm")
-    first = F.row_number().over(Window.partitionBy("section", "entity_type", "entity_id").orderBy(F.desc("g.n"), "g.pos"))
+    of a matching n-gram, longest first, then by place, at most ``most``.
+
+    Of a name's owners only the first ``most`` by type and id can be among a text's:
+    each of them stands at that place or before it."""
+    owner = F.row_number().over(Window.partitionBy("norm").orderBy("entity_type", "entity_id"))
+    index = with_type(aliases, entities).where(F.octet_length("alias_norm") >= 2).select(F.col("alias_norm").alias("norm"), "entity_id", "entity_type", "confidence")
+    index = index.withColumn("owner", owner).where(F.col("owner") <= most).drop("owner")
+    hits = spotted(sections.select("section", "text"), index, ["section"]).join(index, "norm")
+    first = F.row_number().over(Window.partitionBy("section", "entity_type", "entity_id").orderBy(F.desc("n"), "pos"))
     once = hits.withColumn("rn", first).where("rn = 1")
-    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("g.n"), "g.pos", "entity_type", "entity_id"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select("section", "entity_id", "entity_type", F.col("g.gram").alias("surface"), "confidence", "place")
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "pos", "entity_type", "entity_id"))
+    return once.withColumn("place", place).where(F.col("place") <= most).select("section", "entity_id", "entity_type", "surface", "confidence", "place")
