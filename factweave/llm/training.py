@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Characters that a sample may hold, and how much longer than the mean of a full
-#: sample one text may be.
-CHARS, SPREAD = 60_000_000, 2
+#: Characters that a sample may hold.
+CHARS = 24_000_000
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -18,19 +17,28 @@ def fold(doc_id: Column, of: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int, chars: int = CHARS) -> list[tuple[str, int]]:
     """At most ``rows`` (text, label) pairs outside the held-out fold, by hash of
-    the id, of ``chars`` characters together at most: texts of more than its
-    ``rows``-th part times SPREAD are no examples, and the sample ends where the
-    sum is reached. Only these texts come to the driver. Null labels and ids are
-    no examples; an id labelled twice counts once, with the smaller label."""
+    the id, of ``chars`` characters together at most.
+
+    Texts of any length are examples: where the characters would run out the sample
+    has fewer rows, the first by hash (only a text of more than ``chars`` by itself
+    is passed over). Sizes are looked at first, so only the sample's texts come to
+    the driver. Null labels and ids are no examples; an id labelled twice counts
+    once, with the smaller label, and one of several texts with the shortest."""
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), of) != held_out)).groupBy("doc_id").agg(F.min(label).alias("y"))
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", F.struct(F.length(text).alias("n"), text.alias("text")).alias("t"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    short = F.length(F.coalesce("text", F.lit(""))) <= max(1, SPREAD * chars // max(1, rows))
-    got, held = [], 0
-    rows_ = docs.select("doc_id", "text").where(short).join(picked, "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h")).collect()  # SPREAD times ``chars`` at most
-    for r in sorted(rows_, key=lambda r: (r["h"], r["doc_id"], r["text"] or "")):
-        held += len(r["text"] or "")
+    sizes = sized.select("doc_id", "t.n").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("y").alias("y"), F.min(F.xxhash64("doc_id")).alias("h")).collect()  # ``rows`` at most
+    got, held = {}, 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] > chars:
+            continue
+        held += r["n"]
         if held > chars:
             break
-        got.append(r)
-    got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "", int(r["y"])) for r in got]
+        got[r["doc_id"]] = int(r["y"])
+    if not got:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in got], docs.select("doc_id").schema)
+    texts = sized.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.text").collect()
+    return [(r["text"], got[r["doc_id"]]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]

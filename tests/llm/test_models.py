@@ -141,3 +141,17 @@ def test_sample_is_bounded_in_characters(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
     got = labelled_sample(docs, labels, "quality", 4, 2, 50, 250)
     assert 0 < len(got) <= 25 and {len(t) for t, _ in got} == {10}
+
+
+def test_long_texts_are_examples(spark):
+    """No text is passed over for its length, if the sample can hold it; where the
+    characters run out there are fewer rows."""
+    from factweave.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (900 if i % 3 == 0 else 10)) for i in range(100)] + [(1, "twice"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(7, 0), (None, 1), (300, 1)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 4, 2, 60)
+    assert 20 <= sum(len(t) == 900 for t, _ in got) and len(got) <= 60
+    few = labelled_sample(docs, labels, "quality", 4, 2, 60, 3_000)
+    assert 0 < sum(len(t) for t, _ in few) <= 3_000 and any(len(t) == 900 for t, _ in few) and set(few) <= set(got)
+    assert labelled_sample(docs.limit(0), labels, "quality", 4, 2, 60) == [] == labelled_sample(docs, labels.limit(0), "quality", 4, 2, 60)
