@@ -54,8 +54,8 @@ class Engine:
 
     @releasing
     def ingest_items(self, items: DataFrame, observed_at: int = 0, dry_run: bool = False) -> DataFrame:
-        """Files known by path and hash are passed over; what a changed file said
-        before is removed. Without changed files the tables are appended to."""
+        """Files known by path and hash are passed over. The tables are only appended
+        to: of what a changed file said before, the ids are written as removed."""
         found = discovery.discover_schemas(sources.records(items))
         if dry_run:
             return found
@@ -74,12 +74,7 @@ class Engine:
         seen = cells.select(F.col("subject").alias("id"), "entity_type", F.struct("path", "pos").alias("seq"))
         facts = dml.numbered(old["facts"], cells.where("predicate IS NOT NULL").drop("entity_type"), ["path", "pos", "predicate"])
         append = {"documents": docs, "entities": dml.new_rows(old["entities"], seen, ["id"], "seq"), "facts": facts}
-        changed: dict[str, DataFrame] = {}
-        if self.stats.get("stale"):
-            left = dml.cascade_delete(old, stale)
-            changed = {k: left[k] for k in ("documents", "facts", "conflicts")}
-            changed |= {k: changed[k].unionByName(append.pop(k).select(*changed[k].columns)) for k in ("documents", "facts")}
-        self.store.commit(version, append, **changed)
+        self.store.commit(version, append, dml.removals(old, stale) if self.stats.get("stale") else None)
         return found
 
     @staticmethod
