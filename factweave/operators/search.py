@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import value_to_string, word_tokens
 from .graph import expand, graph_edges
 
 K1, B = 1.2, 0.75
+#: Entities in a block of a written index; blocks that a search reads first; blocks
+#: named in a filter, more are joined.
+BLOCK, FIRST, NAMED = 4_096, 8, 1_000
 
 
 def payloads(facts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -26,17 +31,74 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings.select("term", "id", "tf", "dl"), t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """Postings in order of terms, so that a query's scan skips most row groups."""
-    postings, stats = index(docs)
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+def weight(tf: Column, dl: Column, avgdl) -> Column:
+    """What a term's count in a document of that length is worth, before its rarity."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def write_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
+    """Postings by term, within it by blocks of about ``block`` entities next to each
+    other by id, so that a query's scan skips most row groups; and for each term and
+    block the number of postings, the largest count and the shortest document, which
+    bound all scores there whatever the index's averages."""
+    t = docs.select("id", word_tokens(F.col("text")).alias("t")).repartitionByRange("id").sortWithinPartitions("id")
+    row = F.monotonically_increasing_id()
+    place = F.shiftleft(F.shiftright(row, 33), 24) + F.floor(row.bitwiseAND((1 << 33) - 1) / block)
+    t = t.withColumn("block", place.cast("long")).withColumn("dl", F.size("t").cast("long"))
+    postings = t.select("block", "id", "dl", F.explode("t").alias("term")).groupBy("term", "block", "id", "dl").agg(F.count("*").alias("tf"))
+    postings.repartitionByRange("term", "block", "id").sortWithinPartitions("term", "block", "id").select("term", "block", "id", "tf", "dl").write.mode("overwrite").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    bounds = written.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    docs.select(F.size(word_tokens(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
+def search_index(spark, path: str, query: str, k: int = 10) -> tuple[list[tuple[str, float]], dict[str, int]]:
+    """The ``k`` best (id, score) of a written index, as ``bm25`` has them, and how
+    many blocks hold a query term and how many of them were read.
+
+    A block's bound is the sum, over the terms in it, of what the largest count in
+    the shortest document would score; all of an entity's postings are in one block.
+    The FIRST blocks by bound are scored; those whose bound can't reach the k-th score
+    found there are never read."""
+    words = [r["term"] for r in spark.range(1).select(F.explode(F.array_distinct(word_tokens(F.lit(query)))).alias("term")).collect()]  # of the query
+    postings, stats = read_index(spark, path)
+    n, avgdl = stats.first()
+    if not words or not n or k < 1:
+        return [], {"blocks": 0, "read": 0}
+    here = spark.read.parquet(f"{path}/blocks").where(F.col("term").isin(words))
+    times = {r["term"]: r["df"] for r in here.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each query term
+    if not times:
+        return [], {"blocks": 0, "read": 0}
+    rarity = F.create_map(*[F.lit(x) for t, df in times.items() for x in (t, math.log(1 + (n - df + 0.5) / (df + 0.5)))])
+    worth = lambda: rarity[F.col("term")] * weight(F.col("tf"), F.col("dl"), F.lit(avgdl))
+    bounds = here.groupBy("block").agg(F.sum(worth()).alias("bound"))
+    total = here.select("block").distinct().count()
+
+    def best(where: Column, beside: DataFrame | None = None) -> list[tuple[str, float]]:
+        hit = postings.where(F.col("term").isin(words) & where)
+        hit = hit if beside is None else hit.join(beside, "block", "left_semi")
+        top = hit.groupBy("id").agg(F.round(F.sum(worth()), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        return [(r["id"], r["score"]) for r in top.collect()]  # k rows
+
+    first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+    found = best(F.col("block").isin(first))
+    reach = found[k - 1][1] if len(found) >= k else float("-inf")
+    rest = bounds.where((F.col("bound") + 1e-6 >= reach) & ~F.col("block").isin(first)).select("block")
+    more = [r["block"] for r in rest.limit(NAMED + 1).collect()]
+    count = len(more)
+    if 0 < count <= NAMED:
+        found += best(F.col("block").isin(more))
+    elif count:
+        count = rest.count()
+        found += best(F.lit(True), rest)
+    return sorted(found, key=lambda x: (-x[1], x[0]))[:k], {"blocks": total, "read": len(first) + count}
+
+
 def bm25(postings: DataFrame, stats: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(id, score) of the ``k`` best; any query term will do, ties go to the id."""
     spark = postings.sparkSession
@@ -46,7 +108,7 @@ def bm25(postings: DataFrame, stats: DataFrame, query: str, k: int = 10) -> Data
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     scored = hit.join(F.broadcast(df), "term").join(F.broadcast(stats))  # df: a row per query term; stats: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 

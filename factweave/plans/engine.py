@@ -278,7 +278,7 @@ class Engine:
         if path is None:
             hits = search.bm25(*search.index(search.payloads(f, e)), query, k)
         else:
-            hits = search.bm25(*search.read_index(self.spark, path), query, k)
+            hits = self.spark.createDataFrame(search.search_index(self.spark, path, query, k)[0], "id string, score double")
         if hops <= 0:
             return hits.select("id", F.lit(0).alias("distance"), "score")
         return graph.expand(self.graph(), e, hits, hops).join(hits, "id", "left").select("id", "distance", "score")
