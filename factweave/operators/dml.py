@@ -140,11 +140,14 @@ def resolve_conflict(conflicts: DataFrame, conflict_id: int, resolution: str, at
 
 
 def entity_page(entities: DataFrame, entity_type: str, q: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page of a type's ids in order; ``q`` is a LIKE pattern's middle."""
+    """A page of ``entities_like`` in order, of at most 1,000 ids."""
+    return entities_like(entities, entity_type, q).orderBy("id").offset(offset).limit(min(limit, 1000))
+
+
+def entities_like(entities: DataFrame, entity_type: str, q: str | None = None) -> DataFrame:
+    """A type's ids; ``q`` is a LIKE pattern's middle."""
     e = entities.where(F.col("entity_type") == entity_type)
-    if q:
-        e = e.where(F.col("id").like(f"%{q}%"))
-    return e.select("id").orderBy("id").offset(offset).limit(min(limit, 1000))
+    return (e.where(F.col("id").like(f"%{q}%")) if q else e).select("id")
 
 
 def entities_holding(entities: DataFrame, entity_type: str, contains: str | None = None) -> DataFrame:

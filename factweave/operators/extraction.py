@@ -19,10 +19,13 @@ CARDINALITY = "Does this predicate hold one value for an entity (scalar) or seve
 ANSWER = "section string, kind string, subject string, predicate string, object_json string, entity_id string, evidence_span string, confidence double"
 
 
-def prompt(text: str, candidates: list[dict], parent: str | None) -> str:
+def prompt(text: str, candidates: list[dict], parent: str | None, parent_type: str | None = None, field: str | None = None) -> str:
+    """The question about a text: whose it is and in which field it stands, whom it
+    may name, and itself up to MAX_BYTES."""
+    whose = " ".join(x for x in (parent or "none", parent_type and f"({parent_type})", field and f"field {field}") if x)
     named = "\n".join(f"- {c['entity_id']} ({c['entity_type']}): {c['surface']}" for c in candidates)
     body = text.encode()[:MAX_BYTES].decode("utf-8", "ignore")
-    return f"Parent: {parent or 'none'}\nCandidates:\n{named or '- none'}\nText:\n{body}"
+    return f"Parent: {whose}\nCandidates:\n{named or '- none'}\nText:\n{body}"
 
 
 def strip_fences(answer: str) -> str:
@@ -47,19 +50,20 @@ def parse_answer(answer: str) -> tuple[list[dict], list[dict]]:
 
 def extract_sections(work: DataFrame, client, concurrency: int = 1) -> DataFrame:
     """Answers for ``work(section, text, parent_subject, candidates)``, up to
-    ``concurrency`` calls at once in each task.
+    ``concurrency`` calls at once in each task; the parent's type and the text's
+    field are told where ``work`` has them (parent_type, field).
 
     Rows by kind: ``fact`` and ``ref`` from the answer, ``done`` for each section
     that was answered or has no candidates (then it isn't asked about), ``usage``
     with a task's counters. A failed call gives no rows."""
 
     def one(row: tuple) -> list[tuple]:
-        section, text, parent, cands = row
+        section, text, parent, cands, parent_type, field = row
         done = [(section, "done", None, None, None, None, None, None)]
         if cands is None or not len(cands):
             return done
         try:
-            facts, refs = parse_answer(client.chat(SYSTEM, prompt(text, list(cands), parent)))
+            facts, refs = parse_answer(client.chat(SYSTEM, prompt(text, list(cands), parent, parent_type, field)))
             said = [(section, "fact", str(f["subject"]), str(f["predicate"]), json.dumps(f["object"], ensure_ascii=False, sort_keys=True), None, None, 0.7) for f in facts]
             said += [(section, "ref", None, None, None, str(r["entity_id"]), r.get("evidence_span"), float(r.get("confidence") or 0.0)) for r in refs]
         except Exception:  # a section's failure is no reason to lose the others
@@ -71,12 +75,14 @@ def extract_sections(work: DataFrame, client, concurrency: int = 1) -> DataFrame
         before = dict(getattr(client, "usage", {}))
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
             for p in parts:
-                got = pool.map(one, zip(p["section"], p["text"], p["parent_subject"], p["candidates"], strict=True))
+                got = pool.map(one, zip(*(p[c] for c in asked), strict=True))
                 yield pd.DataFrame([r for rows in got for r in rows], columns=names)
         used = {k: v - before.get(k, 0) for k, v in getattr(client, "usage", {}).items()}
         yield pd.DataFrame([(None, "usage", None, k, None, None, None, float(v)) for k, v in used.items() if v], columns=names)
 
-    return work.select("section", "text", "parent_subject", "candidates").mapInPandas(run, ANSWER)
+    asked = ["section", "text", "parent_subject", "candidates", "parent_type", "field"]
+    given = work.select(*[F.col(c) if c in work.columns else F.lit(None).cast("string").alias(c) for c in asked])
+    return given.mapInPandas(run, ANSWER)
 
 
 def usage_of(answers: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import value_to_string
+from ..models import ChatClient
 from ..operators import aggregates, graph
+from ..operators.extraction import strip_fences
 from .engine import Engine
 
 MAX_TURNS = 12
@@ -23,6 +25,23 @@ class ToolClient(Protocol):
     def turn(self, messages: list[dict], tools: list[str]) -> dict: ...
 
 
+class ChatTools:
+    """Turns by a model that only chats: it is told the tools' names and shown the
+    talk as JSON, and answers in JSON; anything else is its answer."""
+
+    def __init__(self, chat: ChatClient):
+        self.chat = chat
+
+    def turn(self, messages: list[dict], tools: list[str]) -> dict:
+        asked = f'Answer the question by these tools: {", ".join(tools)}. Reply with JSON only, {{"calls": [{{"name", "args"}}]}} to use them or {{"text": answer}}.'
+        said = self.chat.chat(asked, json.dumps(messages, ensure_ascii=False, default=str))
+        try:
+            got = json.loads(strip_fences(said))
+        except ValueError:
+            return {"text": said}
+        return got if isinstance(got, dict) and got.keys() & {"calls", "text"} else {"text": said}
+
+
 def wanted_ids(args: dict) -> list[str]:
     """ids, or a single id."""
     ids = args.get("ids")

@@ -42,7 +42,7 @@ def answer(engine: Engine, method: str, url: str, body: dict, client: ToolClient
         case ("GET", ["entities", kind]):
             e = store.table("entities")
             page = dml.entity_page(e, kind, q.get("q"), int(q.get("offset", 0)), int(q.get("limit", 100)))
-            return {"total": e.where(F.col("entity_type") == kind).count(), "ids": [r["id"] for r in page.collect()]}
+            return {"total": dml.entities_like(e, kind, q.get("q")).count(), "ids": [r["id"] for r in page.collect()]}
         case ("GET", ["entities", kind, entity_id]):
             got = engine.show(entity_id)
             if got["type"] != kind:

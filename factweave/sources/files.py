@@ -83,17 +83,15 @@ def read_text(content: bytes, path: str) -> Iterator[tuple]:
 
 
 def pdf_reader(extract: Callable[[bytes], str] | None) -> Callable:
-    """Pages between form feeds, blank ones left out but counted; ``extract``
-    turns a PDF's bytes into text."""
+    """Pages between form feeds, blank ones left out but counted; a text of blank
+    pages alone is one section. ``extract`` turns a PDF's bytes into text."""
 
     def read(content: bytes, path: str) -> Iterator[tuple]:
         if extract is None:
             raise ValueError("no PDF text extractor is set")
-        pages = extract(content).split("\f")
-        filled = [(f"page:{i}", p) for i, p in enumerate(pages, 1) if p.strip()]
-        if len(pages) == 1:
-            filled = [(None, p) for _, p in filled]
-        for locator, p in filled:
+        text = extract(content)
+        filled = [(f"page:{i}", p) for i, p in enumerate(text.split("\f"), 1) if p.strip()]
+        for locator, p in filled or [(None, text)]:
             yield "s", (None, p, locator)
 
     return read
