@@ -44,41 +44,57 @@ NEEDS = {"email": "@", "phone": "+", "ipv6": ":", "pem": "-----BEGIN"}
 NEAR, RAISE, LEAST = 40, 0.3, 0.5
 
 
-_PLACED = "array<struct<start:int,end:int,m:string>>"
+_PLACED = "array<struct<start:int,end:int,m:string,before:string>>"
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> in code points of all leftmost matches: the
-    pieces that split() leaves between the matches give their offsets.
+    """array<struct<start, end, m, before>> in code points of all leftmost matches,
+    ``before`` being the NEAR characters ahead of a match: the pieces that split()
+    leaves between the matches give their offsets and what stands there.
 
     Offsets are running sums. They are taken over blocks of about the root of the
     number of matches, since an array that grows by one is copied each time: n
     matches cost n times the root of n, not n squared."""
-    pieces = F.split(text, pattern, -1)
-    sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), F.length(m).alias("len")))
-    sized = F.zip_with(sized, F.transform(pieces, lambda p: F.length(p)), lambda a, gap: F.struct(a["m"].alias("m"), a["len"].alias("len"), gap.alias("gap")))
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(NEAR)).alias("near")))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), F.length(m).alias("len"), p["gap"].alias("gap"), p["near"].alias("near")))
     # zip_with pads: the piece after the last match has no match of its own
     sized = F.filter(sized, lambda x: x["m"].isNotNull())
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(NEAR))
 
     def step(acc, x):
-        s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m")))).alias("out"))
+        s, e, before = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"], last(acc["tail"], x["near"])
+        out = F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m"), before.alias("before"))))
+        return F.struct(e.alias("at"), last(before, x["m"]).alias("tail"), out.alias("out"))
 
     def place(xs: Column, at: Column) -> Column:
-        return F.aggregate(xs, F.struct(at.alias("at"), F.expr(f"cast(array() AS {_PLACED})").alias("out")), step, lambda acc: acc["out"])
+        return F.aggregate(xs, F.struct(at["at"].alias("at"), at["tail"].alias("tail"), F.expr(f"cast(array() AS {_PLACED})").alias("out")), step, lambda acc: acc["out"])
 
     def blocks(xs: Column) -> Column:
-        n = F.size(xs)
-        k = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / k).cast("int"), F.lit(0))), lambda c: F.slice(xs, c * k + 1, k))
-        total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
-        starts = F.aggregate(cut, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + total(b))))
+        cut = _cut(xs)
+        onward = lambda a, x: F.struct((a["at"] + x["gap"] + x["len"]).alias("at"), last(a["tail"], x["near"], x["m"]).alias("tail"))
+        none = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")))
+        starts = F.aggregate(cut, none, lambda a, b: F.concat(a, F.array(F.aggregate(b, F.element_at(a, -1), onward))))
         return F.flatten(F.filter(F.zip_with(cut, starts, lambda b, at: F.when(b.isNotNull(), place(b, at))), lambda x: x.isNotNull()))
 
     # One element for the whole list: what it is made of is computed once.
     return F.element_at(F.transform(F.array(sized), blocks), 1)
 
 
+def _cut(xs: Column) -> Column:
+    """An array in blocks of about the root of its size."""
+    n = F.size(xs)
+    k = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / k).cast("int"), F.lit(0))), lambda c: F.slice(xs, c * k + 1, k))
+
+
+def _bounded(spans: Column) -> Column:
+    """Spans by start in blocks, each with the range that it covers."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    part = lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans"))
+    return F.element_at(F.transform(F.array(ordered), lambda xs: F.transform(_cut(xs), part)), 1)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -129,8 +145,7 @@ def _scored(t: Column, kind: str, pattern: str) -> Column:
     """The valid spans of one kind with their scores."""
 
     def one(s):
-        near = F.lower(F.substring(t, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))))
-        raised = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0)
+        raised = F.when(F.lower(s["before"]).rlike(rf"\b(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0)
         score = F.round(F.least(F.lit(1.0), F.lit(PRIOR[kind]) + raised), 2)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
@@ -151,18 +166,18 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     kinds = [*PATTERNS, *MORE]
-    name = dict(zip(["", *kinds], spare(docs, "pii_base", *[f"pii_{k}" for k in kinds]), strict=True))
+    name = dict(zip(["", "parts", *kinds], spare(docs, "pii_base", "pii_parts", *[f"pii_{k}" for k in kinds]), strict=True))
     out = docs
     # One column each: higher-order functions over them aren't computed twice.
     for kind, pattern in [*PATTERNS.items(), *MORE.items()]:
         need = F.instr(t, NEEDS[kind]) > 0 if kind in NEEDS else t.rlike("[0-9]")
         out = out.withColumn(name[kind], F.when(need, _scored(t, kind, pattern)).otherwise(F.expr(_NONE)))
     out = out.withColumn(name[""], F.concat(*[F.col(name[k]) for k in PATTERNS]))
-    base = F.col(name[""])
-    more = F.filter(
-        F.concat(*[F.col(name[k]) for k in MORE]),
-        lambda s: (s["score"] >= LEAST) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    base, parts = F.col(name[""]), F.col(name["parts"])
+    out = out.withColumn(name["parts"], _bounded(base))
+    # an added span looks into the blocks of base spans that its own range touches
+    meets = lambda s: F.exists(parts, lambda p: (p["low"] < s["end"]) & (s["start"] < p["high"]) & F.exists(p["spans"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter(F.concat(*[F.col(name[k]) for k in MORE]), lambda s: (s["score"] >= LEAST) & ~meets(s))
     return out.withColumn("pii", F.concat(base, more)).drop(*name.values())
 
 
