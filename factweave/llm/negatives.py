@@ -141,7 +141,7 @@ class Search:
             if not keep.any():
                 continue
             ids, scores = np.concatenate([ids, self.ids[at[keep]]]), np.concatenate([scores, s[keep]])
-            first = np.lexsort((ids, -scores))[:k]
+            first = np.lexsort((ids, ~scores))[:k]
             ids, scores = ids[first], scores[first]
             if len(scores) == k:
                 cut = max(cut, scores[-1])

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from ..operators import blocks
+from .common import table
 
 #: Rows that pivots are chosen from and that give each query its first threshold.
 SEEDS = 2_048
 #: Largest magnitude of a sum of products that doubles hold exactly.
 EXACT = 2.0**53
-TILE = "tile long, ids binary, vecs binary, least binary, dims int"
+TILE = "block long, ids binary, vecs binary, least binary, dims int"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -103,7 +104,7 @@ class Pivots:
 def _merge(best: list, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, n: int) -> tuple[list, np.ndarray]:
     """The k best of each query from those so far and new ones, and the k-th score."""
     row, cid, got = (np.concatenate([x, y]) for x, y in zip(best, (q, ids, scores), strict=True))
-    order = np.lexsort((cid, -got, row))
+    order = np.lexsort((cid, ~got, row))  # not -got: the least whole number has no negative
     row, cid, got = row[order], cid[order], got[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     keep = place < k
@@ -184,7 +185,9 @@ def search_tile(q: np.ndarray, qid: np.ndarray, tile: Tile, k: int, least: np.nd
         may = np.repeat(reach[np.ix_(ask, round_)] >= least[ask, None], [ends[g] - starts[g] for g in round_], axis=1) & (xid[at][None, :] != qid[ask][:, None])
         if placed_q is not None:
             bound = placed_q[ask] @ placed_x[at].T
-            bound += (1e-5 * nq[ask].astype(np.float32))[:, None] * nx[at].astype(np.float32)[None, :] + np.float32(1)
+            # single precision: a rounding for each coordinate of the product, and of the places
+            room = np.float32(2.5e-7 * (placed_x.shape[1] + 16))
+            bound += (room * nq[ask].astype(np.float32))[:, None] * nx[at].astype(np.float32)[None, :] + np.float32(1)
             may &= bound >= least[ask, None]
             if not np.isfinite(least[ask]).all():  # nothing to compare with yet: the highest bounds first
                 first = np.argpartition(np.where(may, -bound, np.inf), min(4 * k, len(at) - 1), axis=1)[:, : 4 * k]
@@ -216,15 +219,20 @@ def _pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return np.concatenate([np.einsum("md,md->m", q[i[a : a + 65_536]], x[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)] or [np.zeros(0)]).astype(np.int64)
 
 
-def _tiles(rows: DataFrame, most: int, seeds: tuple[np.ndarray, np.ndarray] | None = None, k: int = 0) -> DataFrame:
-    """(tile, ids, vecs, least, dims): the vectors of each task in blocks of at most
-    ``most``; nothing is shuffled. With ``seeds`` (ids, vectors) each row gets the
-    k-th best of its scores among them."""
+def _tiles(rows: DataFrame, most: int, n: int, seeds: tuple[np.ndarray, np.ndarray] | None = None, k: int = 0) -> DataFrame:
+    """(block, ids, vecs, least, dims): the vectors in blocks of at most ``most``, in
+    ``n`` parts by hash and sorted, so that a task that runs again cuts the same ones.
+    With ``seeds`` (ids, vectors) each row gets the k-th best of its scores among them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[tuple] = []
+        number = TaskContext.get().partitionId() - n
 
         def block(parts: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
+            number += n
             ids, d = np.concatenate([i for i, _ in parts]), max(m.shape[1] for _, m in parts)
             m, least = np.vstack([_wide(m, d) for _, m in parts]), np.zeros(0)
             if seeds is not None:
@@ -234,7 +242,7 @@ def _tiles(rows: DataFrame, most: int, seeds: tuple[np.ndarray, np.ndarray] | No
                 least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(m), -np.inf)
                 least = np.where(np.abs(least) < EXACT, least, -np.inf)  # a rounded one might be too high
             return pa.RecordBatch.from_pydict({
-                "tile": pa.array([int(ids[0])], pa.int64()), "ids": [ids.astype("<i8").tobytes()],
+                "block": pa.array([number], pa.int64()), "ids": [ids.astype("<i8").tobytes()],
                 "vecs": [m.astype("<f4" if np.abs(m).max(initial=0) < 2**24 else "<f8").tobytes()], "least": [least.astype("<f8").tobytes()], "dims": pa.array([d], pa.int32()),
             })
 
@@ -248,7 +256,7 @@ def _tiles(rows: DataFrame, most: int, seeds: tuple[np.ndarray, np.ndarray] | No
         if held:
             yield block(held)
 
-    return rows.select("vec_id", "x").mapInArrow(build, TILE)
+    return rows.select("vec_id", "x").repartition(n, F.xxhash64("vec_id", "x")).sortWithinPartitions("vec_id", "x").mapInArrow(build, TILE)
 
 
 def _load(ids: bytes, vecs: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +277,8 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     An empty table gives no rows; other columns are ignored.
 
     The stated query set meets all rows in blocks: candidates and queries are
-    packed in tiles of bounded size where they are, each candidate tile goes to
-    each query tile once, dealt by both, and a pair of tiles brings at most k
-    rows per query to the final ranking. A query's first threshold comes from at
+    packed in tiles of bounded size, which meet in a grid of four cells a core, and
+    a pair of tiles brings at most k rows per query to the final ranking. A query's first threshold comes from at
     most SEEDS rows and travels with it.
     """
     spark = vectors.sparkSession
@@ -286,20 +293,15 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     once = np.unique(seed_ids, return_index=True)[1]
     table_of_pivots = Pivots.of(np.clip(sample, -1e15, 1e15), pivots)
 
-    q_tiles = max(1, -(-asked // query_tile))
-    parts = max(1, -(-total // tile))
-    width = max(partitions(spark), min(parts * q_tiles, 4 * spark.sparkContext.defaultParallelism))
-    ct = _tiles(v.repartition(max(1, min(parts, partitions(spark)))), tile).select(F.col("tile").alias("c_tile"), F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"), F.col("dims").alias("c_dims"))
-    qt = _tiles(q.repartition(q_tiles, "vec_id"), query_tile, (seed_ids[once], sample[once]), k)
-    # Numbers of the query tiles: each is dealt to every place, each candidate tile to one place of each.
-    qt = qt.select(F.pmod(F.xxhash64("tile"), F.lit(q_tiles)).alias("qb"), "ids", "vecs", "least", "dims", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cb"))
-    ct = ct.withColumn("cb", F.pmod(F.xxhash64("c_tile"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))))
-    pairs = ct.join(qt, ["qb", "cb"]).repartition(width, "qb", "c_tile")
+    cells = 4 * spark.sparkContext.defaultParallelism
+    (rows, parts), (lot, q_parts) = blocks.sizes(total, tile, cells), blocks.sizes(asked, query_tile, 1)
+    qt = _tiles(q, lot, q_parts, (seed_ids[once], sample[once]), k)
+    pairs = blocks.paired(qt, _tiles(v, rows, parts), q_parts, parts, cells)
 
     def search(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts_:
             for r in p.itertuples():
-                (xid, x), (qid, qv), least = _load(r.c_ids, r.c_vecs, r.c_dims), _load(r.ids, r.vecs, r.dims), np.frombuffer(r.least, "<f8")
+                (xid, x), (qid, qv), least = _load(r.their_ids, r.their_vecs, r.their_dims), _load(r.ids, r.vecs, r.dims), np.frombuffer(r.least, "<f8")
                 wide = max(x.shape[1], qv.shape[1], table_of_pivots.points.shape[1])
                 pv = Pivots(_wide(table_of_pivots.points, wide), np.pad(table_of_pivots.basis, ((0, wide - table_of_pivots.basis.shape[0]), (0, 0))))
                 qv, table_ = _wide(qv, wide), Tile(_wide(x, wide), xid, pv)
@@ -307,6 +309,8 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
                     got = search_tile(qv[a : a + 256], qid[a : a + 256], table_, k, least[a : a + 256])
                     yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got[:3], strict=True)))
 
+    # names without a leading underscore, as itertuples() needs them
+    pairs = pairs.select("ids", "vecs", "least", "dims", *[F.col(f"_{c}").alias(f"their_{c}") for c in ("ids", "vecs", "dims")])
     local = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -151,3 +151,24 @@ def test_pivots_eliminate(kind):
     m = pivots.basis.shape[1]
     gaps = np.abs(pivots.table(x[:50])[:, :m] - pivots.table(x[50:100])[:, :m]).max(1)
     assert (joint >= gaps - 1e-3).all() and (joint <= np.sqrt(((x[:50] - x[50:100]) ** 2).sum(1)) + 1e-6).all()
+
+
+@pytest.mark.parametrize("dims", [768, 1536])
+def test_bounds_of_wide_vectors_hold(dims):
+    """The single-precision bound is no less than the score, whatever the width."""
+    rng = np.random.default_rng(dims)
+    x = np.floor(64 * rng.normal(size=(3_000, dims)) + 400 * rng.normal(size=(30, dims))[rng.integers(0, 30, 3_000)])
+    ids, pivots = np.arange(len(x)), topk.Pivots.of(x[:2048], 256)
+    tile = topk.Tile(x, ids, pivots)
+    q = x[::50]
+    placed = pivots.place(q).astype(np.float32)
+    bound = placed @ tile.place.T
+    room = np.float32(2.5e-7 * (tile.place.shape[1] + 16))
+    norm = np.sqrt((q**2).sum(1)).astype(np.float32)
+    bound += (room * norm)[:, None] * tile.norm.astype(np.float32)[None, :] + np.float32(1)
+    assert (bound >= q @ tile.x.T).all()
+    at, i, score, _ = topk.search_tile(q, ids[::50], tile, 20)
+    s = q @ x.T
+    s[np.arange(len(q)), ids[::50]] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :20]
+    assert (i.reshape(len(q), 20) == want).all() and (score.reshape(len(q), 20) == np.take_along_axis(s, want, 1)).all()
