@@ -96,7 +96,7 @@ def neighbours(ranks: DataFrame) -> DataFrame:
     give each member all others' number and the best other. Words of an equal key
     of any place are one code point longer than the word that has the key itself:
     it gets their number and least rank, and they get it. No pairs are made. Letters
-    are at most 122 code points, so a group holds that many at most, and a key that
+    are 90 code points, so a group holds that many at most, and a key that
     many for each place in a word, however large the corpus. All is dealt once, by
     key; only members of groups of two or more go on. Keys of 124 bits count as
     equal if their words without the place are."""
