@@ -27,8 +27,9 @@ TABLES, SEGMENTS, LIMIT, CELL = 60, 9, 32, 16
 #: Documents in which common shingles are counted and the most that are told
 #: apart; these, too, decide the work only: any order of the shingles is exact.
 COUNTED, COMMON = 2_000, 100_000
-#: Buckets of a set's hashes whose counts bound what two sets share.
-BUCKETS = 128
+#: Buckets of a set's hashes whose counts bound what two sets share: of those kept
+#: for each set, and of those that travel with each shingle.
+BUCKETS, FEW = 128, 16
 
 
 def segments_for(classes: int) -> int:
@@ -133,7 +134,7 @@ def _common(keyed: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.nda
 
 def meetings(n):
     """Of how many shingles at the front two sets are asked to share."""
-    return 1 + n // 10
+    return 1 + n // 20
 
 
 def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -142,14 +143,15 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
 
     Of n shingles a partner shares ``similarity * n`` or more, so in any one order
     of all shingles the first n - ceil(similarity * n) + m of two such sets have m
-    in common, for every m. With m = ``meetings(n)``, a tenth of the set, two texts
-    that share no more than a passage are not proposed; the smaller set's m is what
+    in common, for every m. With m = ``meetings(n)``, a twentieth of the set, most texts
+    that share no more than a passage aren't proposed; the smaller set's m is what
     a pair needs. Common shingles come last in the order. Sizes and the places of a
-    shared shingle bound the overlap, too; pairs under the bound go.
+    shared shingle bound the overlap, too, and so do the counts of all of a set's
+    hashes in FEW buckets, which travel with them; pairs under a bound go at once.
     """
     spark = keyed.sparkSession
     common, times = _common(keyed, words, named.count())
-    kinds = [("h", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("label", pa.int64()), ("pos", pa.int32())]
+    kinds = [("h", pa.int64()), ("n", pa.int32()), ("id", pa.int64()), ("label", pa.int64()), ("pos", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,9 +164,12 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     c = np.where(common[at] == h, times[at], 0)
+                few = np.bincount((h >> 32) & (FEW - 1), minlength=FEW)
+                # a byte holds up to 254; beyond, nothing is known of the set
+                few = np.full(FEW, 255, np.uint8) if few.max() > 254 else few.astype(np.uint8)
                 h = h[np.lexsort((h, c))[: n - math.ceil(similarity * n - 1e-6) + meetings(n)]]
                 k = len(h)
-                cols = [h, np.full(k, n), np.full(k, i), np.full(k, label), np.arange(k)]
+                cols = [h, np.full(k, n), np.full(k, i), np.full(k, label), np.arange(k), *(np.full(k, v) for v in few.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, kinds, strict=True)], [x for x, _ in kinds])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +179,11 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
             enough = (1 + similarity) * most >= similarity * (x + y) - 1e-6
             return (m[i, 3] != m[j, 3]) & enough & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
 
+        def alike(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            few = np.ascontiguousarray(m[:, 5:7]).view(np.uint8)
+            most = np.concatenate([np.minimum(few[i[a : a + 65_536]], few[j[a : a + 65_536]]).sum(1, dtype=np.int64) for a in range(0, len(i), 65_536)] or [np.zeros(0, np.int64)])
+            return (few[i, 0] == 255) | (few[j, 0] == 255) | ((1 + similarity) * most >= similarity * (m[i, 1] + m[j, 1]) - 1e-6)
+
         def out(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             pair = np.stack([np.minimum(m[i, 2], m[j, 2]), np.maximum(m[i, 2], m[j, 2]), meetings(np.minimum(m[i, 1], m[j, 1]))], axis=1)
             p, times = np.unique(pair, axis=0, return_counts=True)
@@ -190,6 +200,7 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
                 if not len(i):
                     break
                 i = i[fits(m, i, i + d)]
+                i = i[alike(m, i, i + d)]
                 a.append(i), b.append(i + d)
             if sum(map(len, a)):
                 yield out(m, np.concatenate(a), np.concatenate(b))
@@ -202,8 +213,10 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
                 for f in range(0, len(few), step):
                     i, j = few[f : f + step][:, None], np.arange(len(part))[None, :]
                     x, y = np.nonzero(fits(part, i, j) & (major[j] | (i < j)))
-                    if len(x):
-                        yield out(part, few[f : f + step][x], y)
+                    x = few[f : f + step][x]
+                    keep = alike(part, x, y)
+                    if keep.any():
+                        yield out(part, x[keep], y[keep])
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -222,7 +235,7 @@ def prefix_pairs(named: DataFrame, keyed: DataFrame, words: int, similarity: flo
             yield from pairs(np.concatenate(held))
 
     texts = keyed.join(named, ["dk", "th"]).select("id", "label", "text")
-    rows = texts.mapInArrow(prefixes, "h long, n int, id long, label long, pos int")
+    rows = texts.mapInArrow(prefixes, "h long, n int, id long, label long, pos int, s0 long, s1 long")
     dealt = rows.repartition(partitions(spark), "h").sortWithinPartitions("h")
     found = dealt.mapInArrow(search, "a long, b long, need long, times long")
     return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
