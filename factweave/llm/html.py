@@ -21,7 +21,7 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td
 tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style title textarea iframe noembed noframes xmp template".split())
+DROPPED = frozenset("script style title textarea iframe noembed noframes xmp template svg canvas audio video".split())
 APART = frozenset("aside button dialog footer menu nav noscript search select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES_APART = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
@@ -227,7 +227,7 @@ class Tree:
     share: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4) -> Tree:
+    def fit(cls, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 12) -> Tree:
         nodes: list[list] = []
 
         def grow(rows: np.ndarray, left: int) -> int:
@@ -271,7 +271,7 @@ _NAV = "<nav><ul><li><a>{1-2}</a><li><a>{1-2}</a><li><a>{1-3}</a><li><a>{1-2}</a
 _SOUP = "<div><a>{1-2}</a> | <a>{1-3}</a> | <a>{1-2}</a></div>"
 _FOOT = "<footer>&copy; {1-4} &middot; {3-12.}</footer>"
 _ENDS = "<footer><p>{4-14.}</p><ul><li><a>{1-3}</a><li><a>{1-3}</a></ul></footer>"
-_TEXT = "<h1>+{2-14}</h1><p>+{20-90.}</p><p>+{1-12.}</p><p>+{30-150.}</p><h2>+{1-6}</h2><p>+{8-60.}</p><ul><li>+{1-9}</li><li>+{2-20.}</li></ul><blockquote>+{8-40.}</blockquote><p>+{5-70.}</p>"
+_TEXT = "<h1>+{1-40}</h1><p>+{20-90.}</p><p>+{1-12.}</p><p>+{30-150.}</p><h2>+{1-6}</h2><p>+{8-60.}</p><ul><li>+{1-9}</li><li>+{2-20.}</li></ul><blockquote>+{8-40.}</blockquote><p>+{5-70.}</p>"
 _LINKS = "<p>+{3-9} <a>{1-4}</a> {3-40.}</p><p>+<a>{2-6}</a></p><p>+{1-3}</p><table><tr><th>+{1-2}</th><td>+{1-4}</td></tr></table><pre>+{2-30}</pre><figure><figcaption>+{2-14.}</figcaption></figure>"
 _NOTES = "<div class='comments'><h3>{1-3}</h3><article><p>{1-60.}</p></article><div><p>{2-80.}</p></div><form><label>{1-3}</label><button>{1-2}</button></form></div>"
 LABELLED = (
@@ -280,16 +280,18 @@ LABELLED = (
     f"{_NAV}<aside><h2>{{1-3}}</h2><p>{{6-90.}}</p></aside><article>{_LINKS}<div class='ad'><p>{{2-30.}}</p></div><p>+{{4-40.}}</p><aside><p>{{5-40.}}</p></aside><p>+{{1-30.}}</p></article>{_NOTES}{_ENDS}",
     f"<div class='notice'><p>{{5-40.}}</p><button>{{1-2}}</button></div><div class=header><a>{{1-3}}</a></div><div class=content>{_TEXT}</div><div class=sidebar><p>{{6-60.}}</p><ul><li><a>{{2-8}}</a></ul></div><div class=footer>{{4-14}}</div>",
     f"<div id=menu><a>{{1-2}}</a> <a>{{1-2}}</a></div><div class=post><h2>+{{2-12}}</h2><p>+{{1-10.}}</p>{_LINKS}<div class=share><a>{{1-2}}</a> <a>{{1}}</a></div></div><section id=comments><h2>{{1-3}}</h2><ol><li><p>{{3-80.}}</p><li><p>{{1-50.}}</p></ol></section>",
-    f"<form><input><label>{{1-4}}</label><p>{{4-40.}}</p></form><section><h1>+{{3-12}}</h1><p>+{{25-90.}}</p><p>+{{12-60.}}</p><p>+{{4-9.}}</p><p>+{{25-70.}}</p></section><div>{_SOUP}</div>",
-    f"{_SOUP}<h1>+{{4-12}}</h1><p>+{{18-80.}}</p><p>+{{16-90.}}</p><p>+{{6-12.}}</p><p>+{{30-90.}}</p><p>{{2-8}}</p><p><a>{{1-3}}</a> <a>{{1-3}}</a></p><p>{{2-7}}</p>",
+    f"<form><input><label>{{1-4}}</label><p>{{4-40.}}</p></form><section><h1>+{{1-12}}</h1><p>+{{25-90.}}</p><p>+{{12-60.}}</p><p>+{{4-9.}}</p><p>+{{25-70.}}</p></section><div>{_SOUP}</div>",
+    f"{_SOUP}<h1>+{{1-12}}</h1><p>+{{18-80.}}</p><p>+{{16-90.}}</p><p>+{{6-12.}}</p><p>+{{30-90.}}</p><p>{{2-8}}</p><p><a>{{1-3}}</a> <a>{{1-3}}</a></p><p>{{2-7}}</p>",
     f"<table><tr><td>{_SOUP}</td><td><p>+{{30-120.}}</p><p>+{{22-80.}}</p><p>+{{22-60.}} <a>{{1-4}}</a> {{4-20.}}</p></td></tr></table><div>{{2-9}}</div><div><a>{{2-5}}</a></div>",
     f"{_NAV}<ul><li><a>{{4-14}}</a></li><li><a>{{4-16}}</a></li></ul><article><p>+{{1-8.}}</p><p>+{{1-5}}</p><p>+{{1-15.}}</p></article><div><p>{{2-6}}</p></div>{_FOOT}",
     f"{_NAV}<article><section class=meta><p>{{2-8}}</p></section><p>+{{12-80.}}</p><p>+{{1-4.}}</p><nav><a>{{1-4}}</a></nav><footer><p>{{3-30.}}</p></footer><form><p>{{3-30.}}</p></form></article><dialog><p>{{4-40.}}</p></dialog>{_ENDS}",
     f"<div role=banner><p>{{2-20.}}</p></div><div role=main><p>+{{1-80.}}</p><h3>+{{1-8}}</h3><dl><dt>+{{1-4}}<dd>+{{2-30.}}</dl></div><div role=complementary><p>{{5-60.}}</p></div><div role=contentinfo>{{3-20}}</div>",
     f"<div><p><a>{{2-7}}</a></p><p>{{1-6}}</p></div><div class=article><div class='article-header'><h1>+{{2-12}}</h1><p>{{2-5}}</p></div>{_TEXT}</div><div><h4>{{1-3}}</h4><p><a>{{5-14}}</a></p><p><a>{{5-14}}</a></p></div>",
+    f"<div><ul><li><a>{{1-2}}</a></li><li><a>{{1-3}}</a></li></ul></div><div><h1>+{{1-9}}</h1><p>+{{16-90.}}</p><p>+{{2-9.}}</p><p>+{{25-80.}}</p></div><div><p>{{3-12.}}</p></div>",
+    f"{_SOUP}<div><h1>+{{1-10}}</h1><p>+{{20-90.}}</p><p>+{{2-9.}}</p><p>+{{25-80.}}</p></div><p>{{3-12.}}</p>",
     "<p>+{20-90.}</p>", "<p>+{26-90.}</p><p>+{20-60.}</p>", "<div><a>{1-9}</a></div>", "{1-6}", "+{25-90.}",
 )
-VARIANTS = 24
+VARIANTS = 60
 
 
 def labelled(seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
