@@ -294,7 +294,8 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     table_of_pivots = Pivots.of(np.clip(sample, -1e15, 1e15), pivots)
 
     cells = 4 * spark.sparkContext.defaultParallelism
-    (rows, parts), (lot, q_parts) = blocks.sizes(total, tile, cells), blocks.sizes(asked, query_tile, 1)
+    # a tile's rows share their bounds and thresholds, so small tiles cost more than they spread
+    (rows, parts), (lot, q_parts) = blocks.sizes(total, tile, min(cells, total // 8_192)), blocks.sizes(asked, query_tile, 1)
     qt = _tiles(q, lot, q_parts, (seed_ids[once], sample[once]), k)
     pairs = blocks.paired(qt, _tiles(v, rows, parts), q_parts, parts, cells)
 
