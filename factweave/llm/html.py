@@ -40,7 +40,7 @@ PLAIN = ("has", "no", "not", "with", "without", "is")
 
 _ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
-    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(" + "|".join(sorted(DROPPED)) + r")(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|svg(?=[\s/])" + _ATTRS + r"(?<=/)>|(" + "|".join(sorted(DROPPED)) + r")(?=[\s/>])" + _ATTRS + r"(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
     r"|[!?][^>]*+(?:>|\Z)|(/?)([a-z][^\s/>]*+)(" + _ATTRS + r")(?:>|\Z)|/[^>]*+(?:>|\Z))", re.S | re.I)
 _NAMED = re.compile(r"class|\bid\b|role|hidden|display|itemprop", re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")

@@ -21,6 +21,7 @@ def text(page):
     ('<a title="x > y" href=z>in</a> 1 < 2 <3 </ >end<', ["in 1 < 2 <3 end<"]),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", ["a", "b", "c", "d"]),
     ("<scripty>a</scripty><p title='unclosed>b</p>", ["a", "b"]),
+    ("a<svg class=x/>b<svg><text>c</text></svg>d<p>e<video>f</video>", ["abd", "e"]),
     ("", []), ("  \n ", []), ("<p></p><div> </div>", []),
 ])
 def test_blocks(page, want):
