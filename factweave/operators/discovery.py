@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string, value_to_string
+from .keyed import few
 
 
 def discover_schemas(records: DataFrame) -> DataFrame:
@@ -26,6 +27,7 @@ def discover_schemas(records: DataFrame) -> DataFrame:
         .when(low == F.concat(s, F.lit("id")), 3).when(low == F.concat(one, F.lit("id")), 4).when(low.endswith("id"), 5)
     )
     keys = n.select("path", "schema", "n", F.explode("first").alias("key")).withColumn("rank", rank).where("rank IS NOT NULL")
+    keys = few(keys)
     cells = r.select("path", F.explode("fields").alias("key", "obj")).join(keys.select("path", "key"), ["path", "key"], "left_semi")
     vals = cells.select("path", "key", value_to_string(F.col("obj")).alias("v")).where("v <> ''").groupBy("path", "key", "v").agg(F.count("*").alias("c"))
     good = vals.groupBy("path", "key").agg(F.sum("c").alias("total"), F.max("c").alias("most")).where("most = 1")
