@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import text as fx
-from factweave.operators import aliases
+from factweave.operators import aliases, vectors
 
-from .test_keyed import dealt_by
+from .test_keyed import dealt_by, plan
 
 
 @pytest.fixture
@@ -44,3 +44,14 @@ def test_aliases_are_dealt_by_entity_once(spark, no_broadcast):
     assert len(rows(found)) == len(want) and set(rows(found)) == want
     assert not dealt_by(found, "entity_id", "alias_norm")
     assert set(rows(aliases.derive_aliases(facts_of(spark), entities_of(spark), block))) == want - {("e2", "bob", "field:name", 1.0)}
+
+
+def test_cards_collect_nothing(spark, no_broadcast):
+    rows = [(i, "e1", f"p{i}", f'"{"v" * (9 - i % 7)}"') for i in range(9)] + [(20, "e2", "p", "null"), (21, "e3", "q", "5")]
+    f = spark.createDataFrame(rows, "id long, subject string, predicate string, object_json string")
+    names = spark.createDataFrame([("e1", f"n{i % 6}" if i < 6 else f"N{i % 6}", i / 10) for i in range(8)], "entity_id string, alias string, confidence double")
+    cards = vectors.card_text(f, entities_of(spark), names)
+    assert "ObjectHashAggregate" not in plan(cards)
+    got = {r.id: r.card for r in cards.collect()}
+    assert got["e1"] == "t e1\naliases: N1, N0, n5, n4, n3\np6: vvv\np5: vvvv\np4: vvvvv\np3: vvvvvv\np2: vvvvvvv"
+    assert (got["e2"], got["e3"], got["E 4"]) == ("t e2", "t e3\nq: 5", "u E 4")
