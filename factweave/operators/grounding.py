@@ -17,11 +17,10 @@ def ground_refs(found: DataFrame, sections: DataFrame, entities: DataFrame, alia
     span = F.trim("evidence_span")
     j = found.join(sections, "section").join(entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id")
     j = j.where((F.col("entity_id") != F.col("parent_subject")) & (span != "") & F.contains(F.lower("text"), F.lower(span)))
-    j = j.withColumn("span_norm", normalize_alias(span)).withColumn("row", F.struct("section", "entity_id", "evidence_span", "confidence"))
-    # Aliases of one entity only: the join is on the entity.
-    known = aliases.select("entity_id", "alias_norm").distinct()
-    held = j.join(known, "entity_id").where(F.contains("span_norm", "alias_norm")).select("row").distinct()
-    ok = j.join(held, "row", "left_semi")
+    j = j.withColumn("span_norm", normalize_alias(span))
+    # Aliases of one entity only: the join is on the entity, and any that the span holds will do.
+    known = aliases.select(F.col("entity_id").alias("owner"), "alias_norm")
+    ok = j.join(known, (F.col("entity_id") == F.col("owner")) & F.contains("span_norm", "alias_norm"), "left_semi")
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
     conf = F.when(raw >= 0.9, f32(raw)).otherwise(f32(raw.cast("float") * F.lit(0.9).cast("float")))
     return ok.select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import text as fx
-from factweave.operators import aliases, search, vectors
+from factweave.operators import aliases, grounding, search, vectors
 
 from .test_keyed import dealt_by, plan
 
@@ -57,6 +57,15 @@ def test_cards_collect_nothing(spark, no_broadcast):
     assert (got["e2"], got["e3"], got["E 4"]) == ("t e2", "t e3\nq: 5", "u E 4")
 
 
+def test_answers_are_met_once(spark, no_broadcast):
+    found = spark.createDataFrame([("s", "e1", " Ann LEE ", 0.9), ("s", "e1", "so", 0.9), ("s", "e2", "Ann Lee", 0.9), ("s", "e1", "never", 1.0), ("s", "e1", "ann", None)], grounding.RESULT)
+    sections = spark.createDataFrame([("s", "e2", "so ann lee said")], "section string, parent_subject string, text string")
+    known = spark.createDataFrame([("e1", "ann lee"), ("e1", "ann"), ("e1", "lee"), ("e2", "bob")], "entity_id string, alias_norm string")
+    got = grounding.ground_refs(found, sections, entities_of(spark), known)
+    assert [r.locator for r in got.orderBy("locator").collect()] == [" Ann LEE ", "ann"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [section") == 2  # one of the answers, one of the sections
+
+
 def test_payloads_are_counted_by_fact(spark):
     rows = [(1, "e1", "name", '"Ann-Ann, xΣ"'), (2, "e1", "note", '"Σ ann 3"'), (3, "e2", "name", "null"), (4, "e3", "n", "3"), (5, "e9", "name", '"ann"'), (6, "e2", None, '"T"'), (7, "e3", "o", '{"ann": 3}')]
     f = spark.createDataFrame(rows, "id long, subject string, predicate string, object_json string")
