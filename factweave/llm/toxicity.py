@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lots, spare, table
 from .crf import Crf, logistic, sigmoid, train
-from .training import fold, labelled_sample
+from .training import fold, in_order, sample
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 4_000
@@ -217,7 +219,19 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicityModel:
-    return ToxicityModel(labelled_sample(docs, labels, "toxic", 5, 0, rows))
+    """Fitted in a task of its own: the sample's texts and the chains' features, both
+    bounded by the sample, never come to the driver, only the model does."""
+    texts = sample(docs, labels, "toxic", 5, 0, rows)
+    if texts is None:
+        return ToxicityModel([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(b.column(x).to_pylist() for x in ("doc_id", "text", "y")), strict=True)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ToxicityModel(in_order(got)))], pa.binary())], ["model"])
+
+    model = texts.repartition(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(model[0]["model"]) if model else ToxicityModel([])
 
 
 def score(docs: DataFrame, model: ToxicityModel, spans: bool = False) -> DataFrame:

@@ -15,14 +15,14 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int, chars: int = CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) pairs outside the held-out fold, by hash of
-    the id, of ``chars`` characters together at most.
+def sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int, chars: int = CHARS) -> DataFrame | None:
+    """(doc_id, text, y): at most ``rows`` labelled texts outside the held-out fold,
+    by hash of the id, of ``chars`` characters together at most; None if there are none.
 
     Texts of any length are examples: where the characters would run out the sample
     has fewer rows, the first by hash (only a text of more than ``chars`` by itself
-    is passed over). Sizes are looked at first, so only the sample's texts come to
-    the driver. Null labels and ids are no examples; an id labelled twice counts
+    is passed over). Sizes are looked at first, so only the sample's texts are
+    brought together. Null labels and ids are no examples; an id labelled twice counts
     once, with the smaller label, and one of several texts with the shortest."""
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), of) != held_out)).groupBy("doc_id").agg(F.min(label).alias("y"))
     text = F.coalesce("text", F.lit(""))
@@ -38,7 +38,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, hel
             break
         got[r["doc_id"]] = int(r["y"])
     if not got:
-        return []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in got], docs.select("doc_id").schema)
-    texts = sized.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.text").collect()
-    return [(r["text"], got[r["doc_id"]]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))]
+        return None
+    ids = docs.sparkSession.createDataFrame(list(got.items()), docs.select("doc_id").schema.add("y", "long"))
+    return sized.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y")).select("doc_id", "t.text", "y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held_out: int, rows: int, chars: int = CHARS) -> list[tuple[str, int]]:
+    """The (text, label) pairs of ``sample``, in the driver."""
+    texts = sample(docs, labels, label, of, held_out, rows, chars)
+    return [] if texts is None else in_order(texts.collect())
+
+
+def in_order(texts: list) -> list[tuple[str, int]]:
+    """(text, label) pairs of (doc_id, text, y), by id: the order that a fit sees."""
+    return [(t, y) for _, t, y in sorted(texts)]

@@ -155,3 +155,27 @@ def test_long_texts_are_examples(spark):
     few = labelled_sample(docs, labels, "quality", 4, 2, 60, 3_000)
     assert 0 < sum(len(t) for t, _ in few) <= 3_000 and any(len(t) == 900 for t, _ in few) and set(few) <= set(got)
     assert labelled_sample(docs.limit(0), labels, "quality", 4, 2, 60) == [] == labelled_sample(docs, labels.limit(0), "quality", 4, 2, 60)
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    from factweave.llm.training import labelled_sample
+
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        words = prose(rng, 30).split()
+        if i % 3 == 0:
+            words[7:7] = ["vilewort", "grubmoss"]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    here = toxicity.ToxicityModel(labelled_sample(docs, labels, "toxic", 5, 0, toxicity.SAMPLE))
+
+    def no(*_, **__):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "train", no)
+    model = toxicity.fit(docs, labels)
+    texts = [t for _, t, _ in rows] + ["", None]
+    assert here.crf is not None
+    assert np.array_equal(model.score(texts), here.score(texts))
+    assert toxicity.fit(docs, labels.limit(0)).crf is None
